@@ -1,0 +1 @@
+"""Reserved: the engine is batch only, nothing in its scope reads a stream or keeps a watermark."""
