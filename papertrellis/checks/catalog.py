@@ -64,9 +64,9 @@ def _(v):
 
 @check("papers_by_author", f"""
     SELECT {PAPER_SQL} FROM research_paper p JOIN academic a ON list_contains(p.academic_ids, a.id)
-    WHERE a.name ILIKE '%green%9%'""")
+    WHERE a.name ILIKE '%red%9%'""")
 def _(v):
-    return c.papers_by_author(v("research_paper"), v("academic"), "%green%9%").select(*PAPER)
+    return c.papers_by_author(v("research_paper"), v("academic"), "%red%9%").select(*PAPER)
 
 
 @check("authors_of_papers", f"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from papertrellis.checks.registry import check, joined, rounded
 from papertrellis.checks.views import Views
 from papertrellis.operators import factors, priors
+from papertrellis.session import cut_lineage
 
 SQL = {
     "fin": """
@@ -69,25 +70,24 @@ class Snapshot:
     @classmethod
     def of(cls, v: Views) -> "Snapshot":
         inputs = factors.factor_inputs(v("research_paper").drop("paper_no"))
-        papers = factors.dedupe_papers(inputs)
+        papers = cut_lineage(factors.dedupe_papers(inputs))
         academics = v("academic").select("id", "research_paper_ids")
         return cls(inputs, papers, factors.authorship(papers, academics), academics)
 
     def influenced(self) -> DataFrame:
-        return factors.citation_influence(self.papers)
+        return cut_lineage(factors.citation_influence(self.papers))
 
 
-def factor_table(s: Snapshot) -> DataFrame:
-    """paper_id, influence, quality, authority, status, prior and both tiers."""
-    stats = factors.cohort_stats(s.papers)
-    influenced = factors.citation_influence(s.papers, stats)
-    best = factors.best_papers(s.links, influenced)
-    observed = factors.paper_authority_observed(s.links, best)
-    prior = priors.paper_authority_prior(
-        influenced, s.links, factors.academic_authority(best), observed, stats
-    )
-    quality = factors.quality_percentile(influenced)
-    return priors.authority_status(quality, observed, prior)
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def factor_table(v: Views, s: Snapshot | None = None) -> DataFrame:
+    """All factors per paper; computed once per session and folder, several checks read it."""
+    key = (v.spark.sparkContext.applicationId, v.folder)
+    if key not in _TABLES:
+        s = s or Snapshot.of(v)
+        _TABLES[key] = priors.all_factors(s.papers, s.links)
+    return _TABLES[key]
 
 
 @check("factor_inputs", """
@@ -147,7 +147,7 @@ def _(v):
 
 @check("paper_authority_prior")
 def _(v):
-    return factor_table(Snapshot.of(v)).where("authority_status <> 'observed'").select(
+    return factor_table(v).where("authority_status <> 'observed'").select(
         "paper_id", rounded("prior").alias("prior"))
 
 
@@ -156,7 +156,7 @@ def _(v):
                             WHEN (SELECT count(*) FROM auth) > 50 THEN 'imputed' ELSE 'unavailable' END AS status
     FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id""", **SQL)
 def _(v):
-    return factor_table(Snapshot.of(v)).select("paper_id", F.col("authority_status").alias("status"))
+    return factor_table(v).select("paper_id", F.col("authority_status").alias("status"))
 
 
 @check("snapshot_metrics", """
@@ -183,7 +183,7 @@ def _(v):
     FROM qual q LEFT JOIN obs o ON o.paper_id = q.paper_id""", **SQL)
 def _(v):
     s = Snapshot.of(v)
-    table = factor_table(s)
+    table = factor_table(v, s)
     return priors.score_records(table, s.inputs).join(
         table.select(F.col("paper_id").alias("research_paper_id"), "authority_status"), "research_paper_id"
     ).select(
@@ -214,7 +214,7 @@ def _(v):
            (SELECT round(quantile_cont(i, 0.5), 6) FROM infl) AS influence_median, true AS ids_map""", **SQL)
 def _(v):
     s = Snapshot.of(v)
-    return priors.backfill_summary(factor_table(s), s.inputs).select(
+    return priors.backfill_summary(factor_table(v, s), s.inputs).select(
         "output_rows", "with_quality", "with_influence", "observed", "imputed", "unavailable",
         rounded("quality_median").alias("quality_median"), rounded("influence_median").alias("influence_median"),
         "ids_map")
@@ -226,6 +226,6 @@ def _(v):
            o.paper_id IS NULL AS has_prior
     FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id""", **SQL)
 def _(v):
-    return priors.provenance_report(factor_table(Snapshot.of(v))).select(
+    return priors.provenance_report(factor_table(v)).select(
         "research_paper_id", "author_authority_status",
         F.col("author_authority_imputation_prior").isNotNull().alias("has_prior"))

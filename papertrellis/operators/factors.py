@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from papertrellis.functions.relations import attach_row, cumulative_histogram
 from papertrellis.functions.text import blank_to_null, fold, identifier, parse_count, parse_year, strip
 from papertrellis.schemas import with_optional
+from papertrellis.session import cut_lineage
 
 MIN_COHORT = 5
 TOP_PAPERS = 5
@@ -77,7 +78,9 @@ def cohort_stats(papers: DataFrame) -> dict[str, DataFrame]:
 
     cited = papers.where(F.col("citations").isNotNull())
     # (value, how many papers have it) collapses ties before anything is ranked
-    by_value = cited.groupBy("field_id", "year", "ptype", "citations").agg(F.count(F.lit(1)).alias("n"))
+    by_value = cut_lineage(
+        cited.groupBy("field_id", "year", "ptype", "citations").agg(F.count(F.lit(1)).alias("n"))
+    )
 
     def level(df: DataFrame, keys: list[str], needed: list[str]) -> DataFrame:
         for k in needed:
@@ -105,7 +108,7 @@ def cohort_stats(papers: DataFrame) -> dict[str, DataFrame]:
         top = tops.agg(F.max("citations").alias("_top"))
         joined = values.join(top, keys) if keys else attach_row(values, top)
         joined = joined.withColumn("_below", F.when(F.col("citations") < F.col("_top"), F.col("citations")))
-        out[tier] = level(joined, keys, keys)
+        out[tier] = cut_lineage(level(joined, keys, keys))
     return out
 
 
@@ -171,11 +174,12 @@ def quality_percentile(influenced: DataFrame) -> DataFrame:
         per_year.select(F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("year"), "n_year")
         .groupBy("year").agg(F.sum("n_year").alias("n_near"))
     )
-    tiers = per_year.join(around, "year").select(
+    # one small row per year, read by three branches below
+    tiers = cut_lineage(per_year.join(around, "year").select(
         "year",
         F.when(F.col("n_year") >= MIN_COHORT, Q_TIERS[0]).when(F.col("n_near") >= MIN_COHORT, Q_TIERS[1])
         .otherwise(Q_TIERS[2]).alias("q_tier"),
-    )
+    ))
     near_years = tiers.where(F.col("q_tier") == Q_TIERS[1]).select(F.col("year").alias("_target"))
     near_values = (
         valued.where(F.col("year").isNotNull())

@@ -17,7 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrellis.functions.relations import attach_row, cumulative_histogram
-from papertrellis.operators.factors import I_TIERS, MIN_COHORT, TOP_PAPERS, influence_value
+from papertrellis.operators.factors import (
+    I_TIERS, MIN_COHORT, TOP_PAPERS, academic_authority, best_papers, citation_influence, cohort_stats,
+    influence_value, paper_authority_observed, quality_percentile,
+)
+from papertrellis.session import cut_lineage
 
 _KEYS = {
     "field_year_type": ["field_id", "year", "ptype"],
@@ -161,13 +165,15 @@ def paper_authority_prior(
     ).agg(F.count(F.lit(1)).alias("k"))
     targets = targets.join(own, "paper_id", "left").withColumn("k", F.coalesce("k", F.lit(0)).cast("long"))
     total = authority.agg(F.count(F.lit(1)).alias("n_total"))
-    ranks = authority_ranks(authority)
-
-    changes = changed_authorities(changed_peers(influenced, targets, stats), links, influenced, authority)
+    ranks = cut_lineage(authority_ranks(authority))
+    targets = cut_lineage(targets)
+    changed = cut_lineage(changed_peers(influenced, targets, stats))
+    changes = changed_authorities(changed, links, influenced, authority)
     deltas = changes.select("p", F.inline(F.array(
         F.struct(F.col("old").alias("value"), F.lit(-1).cast("long").alias("d")),
         F.struct(F.col("new").alias("value"), F.lit(1).cast("long").alias("d")),
     ))).groupBy("p", "value").agg(F.sum("d").alias("d")).where(F.col("d") != 0)
+    deltas = cut_lineage(deltas)
     moved = deltas.groupBy("p").agg(F.sum(F.abs("d")).alias("m"))
 
     plain = _closed_form(targets.join(moved, F.col("paper_id") == F.col("p"), "left_anti"), authority, ranks, total)
@@ -254,6 +260,22 @@ def _shifted(targets: DataFrame, deltas: DataFrame, ranks: DataFrame, total: Dat
     return targets.select("paper_id").join(found.withColumnRenamed("p", "paper_id"), "paper_id", "left")
 
 
+def all_factors(papers: DataFrame, links: DataFrame) -> DataFrame:
+    """Every factor of a deduplicated snapshot: influence, quality, authority, status, prior, both tiers.
+
+    Stage results that several later stages read are written to the shared
+    checkpoint folder, so nothing upstream runs twice.
+    """
+    links = cut_lineage(links)
+    stats = cohort_stats(papers)
+    influenced = cut_lineage(citation_influence(papers, stats))
+    best = cut_lineage(best_papers(links, influenced))
+    observed = cut_lineage(paper_authority_observed(links, best))
+    authority = cut_lineage(academic_authority(best))
+    prior = paper_authority_prior(influenced, links, authority, observed, stats)
+    return cut_lineage(authority_status(quality_percentile(influenced), observed, prior))
+
+
 def authority_status(quality: DataFrame, observed: DataFrame, prior: DataFrame) -> DataFrame:
     """All factors per paper with authority, its status and, where imputed, its prior."""
     joined = quality.join(observed, "paper_id", "left").join(prior, "paper_id", "left")
