@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from papertrellis.functions.text import strip
 
@@ -25,7 +25,7 @@ def normalize_doi(c: Column) -> Column:
     return F.when(bare.rlike(r"^10\.\d{4,9}/[^\s<>]+$"), F.concat(F.lit("https://doi.org/"), bare))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _address_is_global(host: pd.Series) -> pd.Series:
     def check(value):
         try:
