@@ -212,7 +212,7 @@ SCOPE = {
         UNION ALL SELECT pa.id, au.u, (1, au.academic_no, au.pos) FROM pa JOIN au ON au.id = pa.a""",
     "puni": """
         SELECT id, string_agg(u, '|' ORDER BY spot) AS universities FROM (
-            SELECT id, u, min(at) AS spot FROM pu WHERE u IN (SELECT id FROM tuni) GROUP BY ALL) z GROUP BY id""",
+            SELECT id, u, min(spot) AS spot FROM pu WHERE u IN (SELECT id FROM tuni) GROUP BY ALL) z GROUP BY id""",
 }
 
 

@@ -212,6 +212,31 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT (o_custkey + 5) % 12, o_orderkey, 'https://openalex.org/W' || CAST(o_orderkey AS STRING),
                o_orderpriority FROM orders WHERE o_orderkey % 3 = 0""",
+    # --- one staff page per part ---
+    "profile_page": """
+        SELECT p_partkey AS page_id, 'https://staff.example.edu/people/' || CAST(p_partkey AS STRING) AS url,
+               '<html><head><style>h1{}</style><script>var a="<h1>no</h1>";</script></head><body><!-- <h1>old</h1> --><nav>'
+               || '<a href="/people/' || CAST(p_partkey % 50 AS STRING) || '?tab=1">Next</a><a href="/about">About</a></nav><h1>'
+               || CASE p_partkey % 4 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'Associate Professor ' WHEN 2 THEN 'professor ' ELSE '' END
+               || p_name || ' &amp;  <b>' || CAST(p_partkey AS STRING) || '</b></h1><p>'
+               || CASE p_partkey % 5 WHEN 0 THEN 'Senior Lecturer in ' || p_type WHEN 1 THEN 'PhD student'
+                       WHEN 2 THEN 'Professor' WHEN 3 THEN 'School manager' ELSE '' END
+               || '</p>' || CASE WHEN p_partkey % 3 = 0 THEN '<h3>Interests</h3><p>' ELSE '<h2>Research Interests</h2><p>' END
+               || p_type || ', ' || p_brand || ' Read more</p><ul><li>Area ' || CAST(p_partkey % 13 AS STRING) || '; area '
+               || CAST(p_partkey % 13 AS STRING) || '</li></ul><h2>Biography</h2><p>My research interests include '
+               || p_name || ' and ' || p_type || ', topic ' || CAST(p_partkey % 7 AS STRING) || '. More.</p>'
+               || '<h2>Research fields</h2><p>4611 ' || p_type || '</p><p>46 Computing ' || CAST(p_partkey % 5 AS STRING)
+               || '</p><p>Section</p>' || CASE WHEN p_partkey % 2 = 0 THEN
+                    '<h2>Positions</h2><div>Acting Senior Research Fellow - Unit ' || CAST(p_partkey % 9 AS STRING)
+                    || ' School of Things</div>' ELSE '' END
+               || '<h2>Tags</h2><span class="keyword">' || p_brand || '</span> <span class="x concept">7 Clean Energy</span>'
+               || '<div class="person-details">' || p_type || ' staff</div>'
+               || CASE p_partkey % 3 WHEN 0 THEN '<a href="https://orcid.org/0000-0001-0000-'
+                    || LPAD(CAST(p_partkey % 10000 AS STRING), 4, '0') || '">id</a>'
+                    WHEN 1 THEN '<a href="//orcid.org/0000-0002-0000-' || LPAD(CAST(p_partkey % 1000 AS STRING), 3, '0')
+                    || 'X">id</a>' ELSE '<p>ORCID 0000-0003-0000-000X</p>' END
+               || '</body></html>' AS html
+        FROM part""",
     # --- collected profiles: suppliers and customers under many spellings ---
     "profile": """
         SELECT k AS seq,
