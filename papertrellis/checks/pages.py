@@ -9,8 +9,8 @@ from papertrellis.checks.views import Views
 from papertrellis.operators import pages
 
 BLOCKS_TEXT = """
-    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(piece, '</?[a-zA-Z]([^>"'']|"[^"]*"|''[^'']*'')*>', ' ', 'g'),
-        '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
+    trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '</?[a-zA-Z]([^>"'']|"[^"]*"|''[^'']*'')*>', ' ', 'g'),
+        '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))"""
 
 
 def blocks(v: Views) -> DataFrame:

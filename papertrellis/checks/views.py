@@ -285,7 +285,7 @@ def _needed(text: str, known: dict[str, str]) -> list[str]:
     seen: set[str] = set()
 
     def visit(body: str) -> None:
-        for word in dict.fromkeys(re.findall(r"[a-z_]+", body)):
+        for word in dict.fromkeys(re.findall(r"[a-z_][a-z_0-9]*", body)):
             if word in known and word not in seen:
                 seen.add(word)
                 visit(known[word])

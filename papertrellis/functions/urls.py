@@ -7,7 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from papertrellis.functions.text import strip
+from papertrellis.functions.text import let, strip
 
 _RESOLVER = r"(?:https?://)?(?:dx\.)?doi\.org/"
 
@@ -22,7 +22,7 @@ def normalize_doi(c: Column) -> Column:
     bare = F.regexp_replace(bare, rf"(?i)^(?:{_RESOLVER})+", "")
     bare = F.regexp_replace(strip(bare), r"^[<>]+|[<>]+$", "")
     bare = F.regexp_replace(bare, r"[.,;)]+$", "")
-    return F.when(bare.rlike(r"^10\.\d{4,9}/[^\s<>]+$"), F.concat(F.lit("https://doi.org/"), bare))
+    return let(bare, lambda b: F.when(b.rlike(r"^10\.\d{4,9}/[^\s<>]+$"), F.concat(F.lit("https://doi.org/"), b)))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -36,53 +36,92 @@ def _address_is_global(host: pd.Series) -> pd.Series:
     return host.map(check, na_action="ignore").astype("object")
 
 
-_URL = r"(?i)^(https)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
+
+# IPv4 ranges that are not globally reachable, as first and last address.
+_CLOSED_IPV4 = (
+    ("0.0.0.0", "0.255.255.255"),
+    ("10.0.0.0", "10.255.255.255"),
+    ("100.64.0.0", "100.127.255.255"),
+    ("127.0.0.0", "127.255.255.255"),
+    ("169.254.0.0", "169.254.255.255"),
+    ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.8"),
+    ("192.0.0.11", "192.0.0.255"),
+    ("192.0.2.0", "192.0.2.255"),
+    ("192.168.0.0", "192.168.255.255"),
+    ("198.18.0.0", "198.19.255.255"),
+    ("198.51.100.0", "198.51.100.255"),
+    ("203.0.113.0", "203.0.113.255"),
+    ("240.0.0.0", "255.255.255.255"),
+)
+
+
+def _ipv4_is_global(host: Column) -> Column:
+    octets = F.transform(F.split(host, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(0)))
+    number = F.aggregate(octets, F.lit(0).cast("long"), lambda n, p: n * 256 + p)
+    ranges = F.array(*[
+        F.struct(F.lit(int(ipaddress.ip_address(a))).alias("a"), F.lit(int(ipaddress.ip_address(b))).alias("b"))
+        for a, b in _CLOSED_IPV4
+    ])
+    return let(number, lambda n: ~F.exists(ranges, lambda r: n.between(r["a"], r["b"])))
 
 
-def _host_port(url: Column) -> tuple[Column, Column]:
-    authority = F.regexp_extract(url, _URL, 2)
-    bracketed = F.regexp_extract(authority, r"^\[([^\]]*)\](?::\d*)?$", 1)
-    plain = F.regexp_extract(authority, r"^([^:\[\]]*)(?::\d*)?$", 1)
-    host = F.lower(F.when(bracketed != "", bracketed).otherwise(plain))
-    port = F.regexp_extract(authority, r":(\d*)$", 1)
-    return F.regexp_replace(host, r"\.+$", ""), F.when(bracketed == authority, F.lit("")).otherwise(port)
+_URL = r"(?i)^(https)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
 def validate_public_https_url(c: Column, *, check_addresses: bool = True) -> Column:
     """Canonical form of a public https url; null for local, private or non-https ones.
 
-    ``check_addresses`` runs the numeric-address test in Arrow batches. Without
-    it every address literal is refused and the expression stays in the JVM.
+    IPv4 literals are tested in the JVM. ``check_addresses`` also tests IPv6
+    literals, in Arrow batches; without it those are refused, so that the
+    expression can stand inside a lambda.
     """
     url = strip(c.cast("string"))
-    authority = F.regexp_extract(url, _URL, 2)
-    host, port = _host_port(url)
-    literal = host.rlike(r"^\d+\.\d+\.\d+\.\d+$") | host.contains(":")
-    address_ok = F.coalesce(_address_is_global(F.when(literal, host)), F.lit(False)) if check_addresses else F.lit(False)
-    named_ok = host.contains(".") & ~host.rlike(r"\.(localhost|local|internal)$")
-    well_formed = (
-        url.rlike(_URL)
-        & (host != "")
-        & ~authority.contains("@")
-        & ((port == "") | (F.coalesce(port.try_cast("int"), F.lit(99999)) <= 65535))
-    )
-    ok = well_formed & F.when(literal, address_ok).otherwise(named_ok)
-    shown_port = F.when((port == "") | (port.try_cast("int") == 443), F.lit("")).otherwise(
-        F.concat(F.lit(":"), port.try_cast("int").cast("string"))
-    )
-    path = F.regexp_extract(url, _URL, 3)
-    query = F.regexp_extract(url, _URL, 4)
-    return F.when(
-        ok,
-        F.concat(
-            F.lit("https://"),
-            host,
-            shown_port,
-            F.when(path == "", F.lit("/")).otherwise(path),
-            F.when(query == "?", F.lit("")).otherwise(query),
-        ),
+    six = F.lower(F.regexp_extract(url, r"(?i)^https://\[([^\]]*)\]", 1))
+    six_ok = F.coalesce(_address_is_global(F.when(six != "", six)), F.lit(False)) if check_addresses else F.lit(False)
+    return let(F.struct(url.alias("url"), six.alias("six"), six_ok.alias("six_ok")), _canonical)
+
+
+def _canonical(p: Column) -> Column:
+    """Every part is bound once, so the expression stays small."""
+    parts = F.struct(
+        F.regexp_extract(p["url"], _URL, 2).alias("authority"),
+        F.regexp_extract(p["url"], _URL, 3).alias("path"),
+        F.regexp_extract(p["url"], _URL, 4).alias("query"),
+        p["url"].rlike(_URL).alias("https"), p["six"].alias("six"), p["six_ok"].alias("six_ok"),
     )
 
+    def with_host(a: Column) -> Column:
+        named = F.lower(F.regexp_extract(a["authority"], r"^([^:\[\]@]*)(?::\d*)?$", 1))
+        return F.struct(
+            a.alias("a"),
+            F.when(a["six"] != "", F.concat(F.lit("["), a["six"], F.lit("]")))
+            .otherwise(F.regexp_replace(named, r"\.+$", "")).alias("host"),
+            F.regexp_extract(a["authority"], r":(\d*)$", 1).alias("port"),
+        )
+
+    def judged(h: Column) -> Column:
+        host, port, a = h["host"], h["port"], h["a"]
+        named_ok = host.contains(".") & ~host.rlike(r"\.(localhost|local|internal)$")
+        number = F.coalesce(port.try_cast("int"), F.when(port == "", F.lit(443)).otherwise(F.lit(99999)))
+        ok = (
+            a["https"] & (host != "") & ~a["authority"].contains("@") & (number <= 65535)
+            & F.when(a["six"] != "", a["six_ok"]).when(host.rlike(_IPV4), _ipv4_is_global(host)).otherwise(named_ok)
+        )
+        return F.when(
+            ok,
+            F.concat(
+                F.lit("https://"), host,
+                F.when(number == 443, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))),
+                F.when(a["path"] == "", F.lit("/")).otherwise(a["path"]),
+                F.when(a["query"] == "?", F.lit("")).otherwise(a["query"]),
+            ),
+        )
+
+    return let(parts, lambda a: let(with_host(a), judged))
+
 
 def context_url(c: Column, *, check_addresses: bool = True) -> Column:
     """DOI hosts go through the DOI rule, every other host through the public-url rule."""

@@ -29,3 +29,19 @@ def broadcast_if_small(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame
     if df.limit(limit + 1).count() <= limit:
         return F.broadcast(df)
     return df
+
+
+def in_passes(queries: DataFrame, run, limit: int = 20_000) -> DataFrame:
+    """Union of ``run(part)`` over parts of the query table of about ``limit`` rows.
+
+    For operators that carry a part of the queries with every task: more
+    queries mean more passes, never a larger part.
+    """
+    n = queries.count()
+    passes = 1 if n <= limit else -(-2 * n // limit)
+    out = None
+    for i in range(passes):
+        part = queries if passes == 1 else queries.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i)
+        done = run(part)
+        out = done if out is None else out.unionByName(done)
+    return out
