@@ -23,7 +23,8 @@ def sql_tokens(expr: str) -> str:
 
 def sql_unit(expr: str) -> str:
     """Stored score to [0, 1]."""
-    return f"greatest(0e0, least(1e0, TRY_CAST(NULLIF({expr}, 'null') AS DOUBLE)))"
+    value = f"TRY_CAST({expr} AS DOUBLE)"
+    return f"CASE WHEN {value} IS NOT NULL THEN greatest(0e0, least(1e0, {value})) END"
 
 
 def corpus(v: Views) -> DataFrame:
@@ -122,8 +123,8 @@ TEXT = {
         SELECT f.query_id, f.entity_id, f.rrf,
                CASE WHEN f.entity_id LIKE 'academic:%' THEN 'researcher' ELSE 'publication' END AS kind,
                coalesce(s.ci, 0e0) AS cit, coalesce(s.pa, 0e0) AS pa, coalesce(s.au, 0e0) AS au, s.ja, s.aa,
-               coalesce(power(0.5e0, greatest(0, date_diff('day', p.publication_date, q.as_of)) / 365.25e0 / r.hl), 0e0)
-                   AS rec, r.*
+               CASE WHEN p.publication_date IS NULL THEN 0e0 ELSE
+                   power(0.5e0, greatest(0, date_diff('day', p.publication_date, q.as_of)) / 365.25e0 / r.hl) END AS rec, r.*
         FROM fused f JOIN qplan q ON q.query_id = f.query_id JOIN prof r ON r.pname = q.pname
         LEFT JOIN lib_paper p ON 'research_paper:' || p.id = f.entity_id
         LEFT JOIN pscore s ON 'research_paper:' || s.pid = f.entity_id""",

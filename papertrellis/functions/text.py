@@ -106,8 +106,11 @@ def number(c: Column) -> Column:
 
 
 def clamp_score(c: Column) -> Column:
-    """Stored score to [0, 1]; NaN counts as above the range, as greatest/least order it."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number(c)))
+    """Stored score to [0, 1]; NaN counts as above the range, as greatest/least order it.
+
+    greatest and least skip nulls, so a missing score is kept out of them.
+    """
+    return let(number(c), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), n))))
 
 
 def parse_count(c: Column) -> Column:

@@ -52,8 +52,8 @@ def checked_profiles(profiles: DataFrame) -> DataFrame:
     return (
         profiles.join(bad, "profile", "left")
         .withColumn(
-            "half_life_years",
-            F.when(F.col("_why").isNull(), F.col("half_life_years")).otherwise(
+            "profile",
+            F.when(F.col("_why").isNull(), F.col("profile")).otherwise(
                 F.raise_error(F.concat(F.lit("ranking profile "), F.col("profile"), F.lit(": "), F.col("_why")))
             ),
         )
@@ -64,7 +64,7 @@ def checked_profiles(profiles: DataFrame) -> DataFrame:
 def recency(published: Column, as_of: Column, half_life: Column) -> Column:
     """Half for every half-life of age; the future counts as today, no date as zero."""
     age = F.greatest(F.lit(0), F.datediff(as_of, published)) / F.lit(365.25)
-    return F.coalesce(F.pow(F.lit(0.5), age / half_life), F.lit(0.0))
+    return F.when(published.isNotNull(), F.pow(F.lit(0.5), age / half_life)).otherwise(0.0)
 
 
 def _zero(c: str) -> Column:
@@ -80,9 +80,10 @@ def score_candidates(candidates: DataFrame, queries: DataFrame, profiles: DataFr
     q = queries.select("query_id", "as_of", "profile", "limit", "require_evidence")
     p = profiles.withColumnRenamed("profile", "_known")
     df = candidates.join(q, "query_id").join(p, F.col("profile") == F.col("_known"), "left")
+    # on the key of the ranking window, so that column pruning cannot drop the check
     df = df.withColumn(
-        "half_life_years",
-        F.when(F.col("_known").isNotNull(), F.col("half_life_years")).otherwise(
+        "query_id",
+        F.when(F.col("_known").isNotNull(), F.col("query_id")).otherwise(
             F.raise_error(F.concat(F.lit("unknown ranking profile: "), F.col("profile")))
         ),
     )
