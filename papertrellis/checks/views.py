@@ -104,7 +104,7 @@ VIEWS: dict[str, str] = {
         FROM customer""",
     "score": """
         SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_orderkey AS STRING) AS research_paper_id,
-               CAST(o_totalprice / 400000 AS STRING) AS paper_authority_score,
+               CAST(o_totalprice / 390001 AS STRING) AS paper_authority_score,
                CASE WHEN o_orderkey % 11 = 0 THEN 'null' ELSE CAST((o_orderkey % 100) / 80e0 AS STRING) END
                    AS academic_authority_score,
                CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE CAST((o_custkey % 50) / 50e0 AS STRING) END
