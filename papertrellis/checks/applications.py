@@ -439,6 +439,11 @@ def _(v):
     return apps.directory_options(v("university").select("name").unionByName(v("discipline").select("name")))
 
 
+def indexed_papers(v: Views) -> DataFrame:
+    docs = lexical.corpus_documents(v("lib_paper"), v("lib_academic"))
+    return cut_lineage(lexical.index_documents(docs, spread=v.spark.sparkContext.defaultParallelism))
+
+
 _RESULTS: dict[tuple[str, str], search.Result] = {}
 
 
@@ -447,7 +452,7 @@ def searched(v: Views) -> search.Result:
     key = (v.spark.sparkContext.applicationId, v.folder)
     if key not in _RESULTS:
         q = planned(v, limit=10, seed_limit=20, target_kinds=("publication",))
-        result = search.retrieve_and_rank(search.Corpus(library(v)), q)
+        result = search.retrieve_and_rank(search.Corpus(library(v), index=indexed_papers(v)), q)
         result.ranked = cut_lineage(result.ranked)
         _RESULTS[key] = result
     return _RESULTS[key]

@@ -8,6 +8,7 @@ from papertrellis.checks.registry import check, joined, rounded
 from papertrellis.checks.views import Views
 from papertrellis.functions.text import CASE_FOLDS, tokens
 from papertrellis.operators import fusion, lexical, ranking, scores
+from papertrellis.session import cut_lineage
 
 
 def sql_fold(expr: str) -> str:
@@ -31,6 +32,12 @@ def corpus(v: Views) -> DataFrame:
     return lexical.corpus_documents(v("lib_paper"), v("lib_academic"))
 
 
+def indexed(v: Views, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """The tokenised corpus, written once; the text tables lie in a single file each, so they are spread first."""
+    spread = v.spark.sparkContext.defaultParallelism
+    return cut_lineage(lexical.index_documents(corpus(v), stop_words, spread))
+
+
 def planned(v: Views, **limits) -> DataFrame:
     return lexical.plan_queries(v("lib_query").select("query_id", "text", "as_of"), **limits)
 
@@ -164,17 +171,17 @@ def _(v):
 
 @check("corpus_stats", "SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl FROM stat", **TEXT)
 def _(v):
-    return lexical.corpus_stats(lexical.index_documents(corpus(v))).select("n_docs", rounded("avgdl").alias("avgdl"))
+    return lexical.corpus_stats(indexed(v)).select("n_docs", rounded("avgdl").alias("avgdl"))
 
 
 @check("term_document_frequency", "SELECT term, df FROM dfs", **TEXT)
 def _(v):
-    return lexical.term_document_frequency(lexical.index_documents(corpus(v)))
+    return lexical.term_document_frequency(indexed(v))
 
 
 @check("bm25", "SELECT query_id, entity_id, round(sc, 6) AS score FROM bm", **TEXT)
 def _(v):
-    return lexical.bm25(planned(v), lexical.index_documents(corpus(v))).select(
+    return lexical.bm25(planned(v), indexed(v)).select(
         "query_id", "entity_id", rounded("score").alias("score")
     )
 
@@ -189,7 +196,7 @@ VARIANT = {
 
 @check("bm25_variant", "SELECT query_id, entity_id, round(sc, 6) AS score FROM bm", **{**TEXT, **VARIANT})
 def _(v):
-    index = lexical.index_documents(corpus(v), lexical.STOP_WORDS)
+    index = indexed(v, lexical.STOP_WORDS)
     return lexical.bm25(
         planned(v), index, k1=1.5, stop_words=lexical.STOP_WORDS, minimum_average=1.0
     ).select("query_id", "entity_id", rounded("score").alias("score"))
@@ -198,7 +205,7 @@ def _(v):
 @check("top_seeds", "SELECT query_id, entity_id, rk AS rank, round(sc, 6) AS raw_score FROM lexhits", **TEXT)
 def _(v):
     q = planned(v)
-    scored = lexical.bm25(q, lexical.index_documents(corpus(v)))
+    scored = lexical.bm25(q, indexed(v))
     return lexical.top_seeds(scored, q).select(
         "query_id", "entity_id", F.col("rank").cast("long").alias("rank"), rounded("raw_score").alias("raw_score")
     )
@@ -225,7 +232,7 @@ def short_queries(v: Views) -> DataFrame:
     ON contains({sql_fold('c.txt')}, trim({sql_fold('sq.needle')}))""", **TEXT)
 def _(v):
     docs = corpus(v)
-    return lexical.substring_fallback(short_queries(v), docs, lexical.index_documents(docs)).withColumn(
+    return lexical.substring_fallback(short_queries(v), docs, indexed(v)).withColumn(
         "score", F.lit(1.0)
     )
 
@@ -300,7 +307,7 @@ def _(v):
 def _(v):
     q, docs = filtered_queries(v), corpus(v)
     eligible = lexical.apply_filters(q, docs, lexical.resolve_filter_ids(q, {t: v(t) for t in LOOKUPS}))
-    return lexical.bm25_filtered(q, lexical.index_documents(docs), eligible).select(
+    return lexical.bm25_filtered(q, indexed(v), eligible).select(
         "query_id", "entity_id", rounded("score").alias("score")
     )
 
@@ -323,7 +330,7 @@ def _(v):
 
 def both_channels(v: Views) -> DataFrame:
     q = planned(v)
-    return lexical.retrieve(q, corpus(v), with_filters=False).unionByName(dense_hits(v))
+    return lexical.retrieve(q, corpus(v), indexed(v), with_filters=False).unionByName(dense_hits(v))
 
 
 @check("rrf", """

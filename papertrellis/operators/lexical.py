@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrellis.functions.text import fold, id_array, strip, term_counts, tokens
 from papertrellis.operators.scores import PUBLICATION, RESEARCHER, namespaced
-from papertrellis.session import SMALL_SIDE_ROWS
+from papertrellis.session import SMALL_SIDE_ROWS, cut_lineage
 
 # Words that choose a ranking profile, matched anywhere in the text.
 RECENT_WORDS = ("latest", "recent", "newest", "current")
@@ -127,12 +127,15 @@ def _documents(df: DataFrame, table: str, kind: str, text: Column) -> DataFrame:
     )
 
 
-def index_documents(docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+def index_documents(docs: DataFrame, stop_words: tuple[str, ...] = (), spread: int | None = None) -> DataFrame:
     """One row per document: length and array<struct<term,tf>>.
 
     Write the result once (``write_index``) when several batches search the
-    same corpus; tokenising is the expensive part.
+    same corpus; tokenising is the expensive part. ``spread`` first deals the
+    documents over that many tasks, for a corpus that lies in too few files.
     """
+    if spread:
+        docs = docs.repartition(spread)
     toks = tokens(F.col("text"))
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
@@ -464,7 +467,8 @@ def retrieve(
     with_filters: bool = True,
 ) -> DataFrame:
     """The lexical channel: BM25, then the substring rule, or everything for '*'."""
-    index = index_documents(docs) if index is None else index
+    # read by four branches below, so the tokens are written once unless an index is given
+    index = cut_lineage(index_documents(docs)) if index is None else index
     text_queries = queries.where(strip(F.col("text")) != "*")
     plain = text_queries.where(F.size("filters") == 0) if with_filters else text_queries
     scored = bm25(plain, index)
