@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, langid, mixing, simhash, tokenfile
-from papertrellis.llm.tables import new_folder, read
+from papertrellis.llm import decontam, langid, linededup, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm.tables import new_folder, read, written
 
 
 def _remainder(n: int):
@@ -23,6 +23,12 @@ def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op4_linededup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    kept = linededup.LineStore().insert(docs).cleaned(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_tokenfile(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "token-file")
     tokenfile.write(read(spark, folder, "documents"), path)
@@ -39,5 +45,16 @@ def op8_decontam(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.scan(read(spark, folder, "documents").select("doc_id", "text"), windows).drop("text", "hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op5_tokenfile, op7_mixing, op8_decontam)}
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = written(neighbours.usable(read(spark, folder, "embeddings")), "vectors")
+    found = neighbours.nearest(vectors, vectors.where(F.col("id") % 50 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
+    found = webtext.extract(read(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_linededup, op5_tokenfile, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
 ORACLES: dict[str, str] = {}
