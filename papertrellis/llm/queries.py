@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, langid, linededup, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm import decontam, grades, langid, linededup, mixing, neighbours, simhash, tokenfile, webtext
 from papertrellis.llm.tables import new_folder, read, written
 
 
@@ -35,6 +35,15 @@ def op5_tokenfile(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.digest(spark, path).withColumnRenamed("id", "doc_id")
 
 
+def op6_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents rated in labels whose remainder is not 0 teach; p_clean is P(grade >= 1), p_good P(grade >= 2), keep: p_clean >= 0.5."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    ratings = grades.rated(read(spark, folder, "labels")).where(_remainder(5) != 0)
+    found = grades.grade(docs, grades.fit(docs, ratings))
+    tail = lambda k: F.element_at("tails", k)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "expected_grade", tail(1).alias("p_clean"), tail(2).alias("p_good"), grades.selected(1).alias("keep"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     found = mixing.mix(read(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -56,5 +65,5 @@ def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_linededup, op5_tokenfile, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
 ORACLES: dict[str, str] = {}
