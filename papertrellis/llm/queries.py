@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, grades, langid, linededup, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm import decontam, grades, langid, linededup, maxent, mixing, neighbours, simhash, tokenfile, webtext
 from papertrellis.llm.tables import new_folder, read, written
 
 
@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", _remainder(10) == 0)
+    model, counts = maxent.learn(docs.where("not held_out"))
+    return maxent.score(docs, model, counts)
+
+
 def op3_langid(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").withColumn("held_out", _remainder(3) == 1)
     model = langid.learn(docs.where("not held_out"))
@@ -65,5 +71,5 @@ def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
 ORACLES: dict[str, str] = {}
