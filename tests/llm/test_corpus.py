@@ -148,14 +148,17 @@ def test_maxent_counts_and_normalisation(docs, wide):
     assert got.agg(F.sum("score")).first()[0] > got.agg(F.sum("base_score")).first()[0]
 
 
-def test_maxent_tail_words_give_the_same(docs, monkeypatch):
-    model, counts = maxent.learn(docs, rounds=2)
-    whole = {r["doc_id"]: r["score"] for r in maxent.score(docs, model, counts).collect()}
-    few = maxent.Model(model.head[:256], model.counts[:256], model.total, model.distinct, model.class_tokens, model.class_words, model.discount, model.weights)
-    # of the words outside the head, all must be joined
-    few.counts[-1] = model.counts[0]
-    cut = maxent.score(docs, few, counts)
-    assert {r["doc_id"]: pytest.approx(r["score"], rel=1e-9) for r in cut.collect()} == whole
+def test_maxent_tail_words_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 200) if k < 900)) for i in range(40)], "doc_id long, text string")
+    model, counts = maxent.learn(table.where("doc_id < 30"), rounds=2)
+    whole = {r["doc_id"]: r for r in maxent.score(table, model, counts).collect()}
+    # the same with a smaller head: what it leaves out is joined
+    few = maxent.Model(model.head[:260], model.counts[:260], model.total, model.distinct, model.class_tokens, model.class_words, model.discount, model.weights)
+    assert len(model.head) > 300
+    for r in maxent.score(table, few, counts).collect():
+        want = whole[r["doc_id"]]
+        assert r["n_known"] == want["n_known"] and r["score"] == pytest.approx(want["score"], rel=1e-9) and r["base_score"] == pytest.approx(want["base_score"], rel=1e-9)
 
 
 def test_maxent_without_texts(docs):
@@ -381,7 +384,7 @@ def test_decontamination(spark, docs, wide):
     rows += [(900, "see: ALPHA beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"), (901, "é unique-tokens é"), (902, "alpha beta gamma delta epsilon zeta eta theta iota"), (903, "unique")]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_hit", F.lit("x")).withColumn("hits", F.lit(1))
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.scan(table, windows).collect())
-    assert got == plain_scan(rows, BENCH) and sum(x[5] for x in got) >= 3
+    assert got == plain_scan(rows, BENCH) and sum(x[5] for x in got) == 2
     cut = {r["doc_id"]: r["text"] for r in decontam.without_spans(table, windows).collect()}
     assert cut[900] == "see:  nu" and cut[901] == " - " or cut[901].strip() in ("", "-")
     assert cut[903] == "unique" and cut[902] == rows[-2][1]
