@@ -8,16 +8,21 @@ and looks one code up per step and checkpoint.
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 import struct
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
 
-from papertrellis.llm.tables import new_folder, slices
+from papertrellis.llm.tables import slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 END = 0
@@ -28,76 +33,102 @@ STRIDE = 256
 #: Ids in a block; a longer document is a block of its own.
 BLOCK = 1 << 18
 #: Different chunks of text whose ids a task remembers.
-REMEMBER = 300_000
+REMEMBER = 800_000
+
+
+# The pattern and the byte alphabet of the public byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
 class Encoder:
     """Ids of texts by the tokenizers library.
 
-    The vocabulary's pre-tokenizer always parts a text before a single space that stands beside a visible character, so such chunks
-    have the same ids alone as in their text, and each different chunk goes through the library once. Texts with a space between
-    white space (or at the end behind white space) go through it whole.
+    The vocabulary's pre-tokenizer always parts a text before a single space that stands beside a visible character, so the chunks
+    between such spaces have the same ids alone as in their text, and a task looks each different chunk up once. Chunks of common
+    scripts are cut by the vocabulary's pattern and go to the library's model; other chunks, and texts with a space between white
+    space (or at the end behind white space), go through the library whole, as do all texts with another kind of vocabulary.
     """
 
+    _PARTS = regex.compile(PATTERN)
+    _ODD = re.compile(r"\s (?:\s|\Z)")
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        self.plain = kind["pre_tokenizer"] == BYTE_LEVEL and not kind["normalizer"] and kind["model"]["type"] == "BPE" and all(t["special"] and "<|" in t["content"] for t in kind["added_tokens"])
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
+        # a key is a chunk without its leading space; the first chunk of a text, which has none, is marked by one
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.known = 0
         self.ids, self.held = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    @staticmethod
-    def _chunks(text: str) -> list[str] | None:
-        """Parts of a text that are encoded alone; None if it has to go whole."""
-        if not text:
-            return []
-        parts = text.split(" ")
-        out = [parts[0]] if parts[0] else []
-        for before, part in zip(parts, parts[1:]):
-            if (not part or part[0].isspace()) and (not before or before[-1].isspace()):
-                return None
-        out += [" " + p for p in parts[1:]]
-        return out
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        for a in range(0, len(chunks), 4096):
-            some = chunks[a:a + 4096]
-            ids = [x.ids for x in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            n, total = len(self.number), int(size.sum())
-            while self.held + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(ids) > len(self.size):
-                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
-            self.ids[self.held:self.held + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.first[n:n + len(ids)], self.size[n:n + len(ids)] = self.held + np.cumsum(size) - size, size
-            self.held += total
-            for c in some:
-                self.number[c] = len(self.number)
+        """Store the ids of chunks, in the order of their numbers."""
+        whole = [i for i, c in enumerate(chunks) if not (c.isascii() or max(c) < "\u0500") or "<|" in c]
+        apart = set(whole)
+        parts = [[] if i in apart else [c] if c[1:].isalpha() and c[0] == " " else self._PARTS.findall(c) for i, c in enumerate(chunks)]
+        tokenize = self.tokenizer.model.tokenize
+        of = {p: [t.id for t in tokenize(p.encode().decode("latin-1").translate(_ALPHABET))] for p in dict.fromkeys(x for found in parts for x in found)}
+        ids = [of[found[0]] if len(found) == 1 else [i for x in found for i in of[x]] for found in parts]
+        for i, x in zip(whole, self._whole([chunks[i] for i in whole])):
+            ids[i] = x
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, total = self.known, int(size.sum())
+        while self.held + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(ids) > len(self.size):
+            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+        self.ids[self.held:self.held + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
+        self.first[n:n + len(ids)], self.size[n:n + len(ids)] = self.held + np.cumsum(size) - size, size
+        self.held, self.known = self.held + total, n + len(ids)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id; a null text has none."""
+        if not self.plain:
+            return [np.array(x, np.uint32) for x in self._whole([t or "" for t in texts])]
         if len(self.number) > REMEMBER:
             self._clear()
-        parts = [self._chunks(t or "") for t in texts]
-        new = dict.fromkeys(c for p in parts if p for c in p if c not in self.number)
-        if new:
-            self._learn(list(new))
+        places = []
+        for text in texts:
+            if not text or self._ODD.search(text):
+                places.append(None)
+                continue
+            parts = text.split(" ")
+            parts[0] = " " + parts[0]
+            places.append(np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)))
+        if len(self.number) > self.known:
+            new = list(itertools.islice(reversed(self.number), len(self.number) - self.known))[::-1]
+            self._learn([k[1:] if k[:1] == " " else " " + k for k in new])
         out = []
-        get = self.number
-        for text, p in zip(texts, parts):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
+        for text, at in zip(texts, places):
+            if at is None:
+                out.append(np.array(self._whole([text])[0] if text else [], np.uint32))
                 continue
-            at = np.fromiter((get[c] for c in p), np.int64, len(p))
             size, first = self.size[at], self.first[at]
             end = np.cumsum(size)
-            out.append(self.ids[np.arange(end[-1] if len(end) else 0) + np.repeat(first - end + size, size)])
+            out.append(self.ids[np.arange(end[-1]) + np.repeat(first - end + size, size)])
         return out
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder; the chunks it has met serve its later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits for ids with these counts (0: no code), by package and merge."""
     ids = np.flatnonzero(counts)
@@ -142,13 +173,19 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return codes, symbol, size, width
 
 
-def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """(bytes of the bits, number of bits, bit offset of every STRIDE-th id)."""
+def pack(documents: list[np.ndarray], codes: np.ndarray, lengths: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(bit offsets of every STRIDE-th id, code bits in whole bytes) of each document."""
+    many = np.fromiter(map(len, documents), np.int64, len(documents))
+    ids = np.concatenate([np.zeros(0, np.uint32), *documents])
     size = lengths[ids].astype(np.int64)
-    end = np.cumsum(size)
-    begin, bits = end - size, int(end[-1]) if len(end) else 0
-    out = np.zeros(bits // 64 + 2, np.uint64)
-    if bits:
+    total = np.concatenate([[0], np.cumsum(size)])
+    last = np.cumsum(many)
+    bits = total[last] - total[last - many]
+    width = (bits + 7) // 8
+    place = np.cumsum(width) - width
+    begin = total[:-1] + np.repeat(8 * place - total[last - many], many)
+    out = np.zeros(int(width.sum()) // 8 + 2, np.uint64)
+    if len(ids):
         word, at = begin >> 6, begin & 63
         over = np.maximum(at + size - 64, 0)
         code = codes[ids]
@@ -157,49 +194,58 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.nd
         out[word[first]] |= np.bitwise_or.reduceat(here, first)
         crossing = np.flatnonzero(over)
         out[word[crossing] + 1] |= code[crossing] << (64 - over[crossing]).astype(np.uint64)
-    return out.astype(">u8").view(np.uint8)[: (bits + 7) // 8], bits, begin[::STRIDE]
+    data = out.astype(">u8").view(np.uint8)
+    return [((begin[b - n:b:STRIDE] - 8 * p).astype("<u8"), data[p:p + w]) for n, b, p, w in zip(many.tolist(), last.tolist(), place.tolist(), width.tolist())]
 
 
-def unpack(data: np.ndarray, marks: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
-    """The ``n`` ids of code bits, all checkpoints side by side."""
+def unpack(data: np.ndarray, marks: np.ndarray, many: np.ndarray, table: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Rows of up to STRIDE ids that begin at the bit offsets ``marks``, ``many`` in each; all rows are read side by side."""
     symbol, size, width = table
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     # 40 bits from every byte on
     wide = (padded[:-4] << np.uint64(32)) | (padded[1:-3] << np.uint64(24)) | (padded[2:-2] << np.uint64(16)) | (padded[3:-1] << np.uint64(8)) | padded[4:]
-    at, out = marks.astype(np.int64), np.zeros((STRIDE, len(marks)), np.uint32)
-    last = len(wide) - 1
+    order = np.argsort(-many, kind="stable")
+    at, left = marks[order].astype(np.int64), np.searchsorted(-many[order], -np.arange(STRIDE), side="left")
+    out = np.zeros((STRIDE, len(marks)), np.uint32)
     mask = np.uint64((1 << width) - 1)
-    for k in range(STRIDE):
-        code = (wide[np.minimum(at >> 3, last)] >> (40 - width - (at & 7)).astype(np.uint64)) & mask
-        out[k] = symbol[code]
-        at = at + size[code]
-    return out.T.ravel()[:n]
-
-
-def to_block(documents: list[tuple[int | None, np.ndarray]], codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    ids = np.concatenate([x for _, x in documents])
-    data, bits, marks = pack(ids, codes, lengths)
-    sizes = np.array([len(x) for _, x in documents], "<i8")
-    head = struct.pack("<4sIIQQ", MAGIC, STRIDE, len(documents), len(ids), bits)
-    names = b"".join(struct.pack("<?q", i is not None, i or 0) for i, _ in documents)
-    return b"".join([head, names, sizes.tobytes(), marks.astype("<u8").tobytes(), data.tobytes()])
+    for k in range(int(many.max()) if len(many) else 0):
+        here = at[:left[k]]
+        code = (wide[here >> 3] >> (40 - width - (here & 7)).astype(np.uint64)) & mask
+        out[k, :left[k]] = symbol[code]
+        here += size[code]
+    back = np.empty_like(out.T)
+    back[order] = out.T
+    return back
+
+
+def to_block(documents: list[tuple[int | None, int, bytes]]) -> bytes:
+    """One block from documents as (id, number of ids, offsets and bits of pack() one behind the other)."""
+    number = np.array([n for _, n, _ in documents], np.int64)
+    marks = [8 * -(-n // STRIDE) for n in number.tolist()]
+    head = struct.pack("<4sII", MAGIC, STRIDE, len(documents))
+    names = b"".join(struct.pack("<?q", i is not None, i or 0) for i, _, _ in documents)
+    width = np.array([len(x) - m for (_, _, x), m in zip(documents, marks)], "<i8")
+    return b"".join([head, names, number.astype("<i8").tobytes(), width.tobytes(), *[x[:m] for (_, _, x), m in zip(documents, marks)], *[x[m:] for (_, _, x), m in zip(documents, marks)]])
 
 
 def from_block(block: bytes, table: tuple[np.ndarray, np.ndarray, int]) -> list[tuple[int | None, np.ndarray]]:
-    magic, stride, documents, n, bits = struct.unpack_from("<4sIIQQ", block)
+    magic, stride, documents = struct.unpack_from("<4sII", block)
     if magic != MAGIC or stride != STRIDE:
         raise ValueError("not a block of this format")
-    at = struct.calcsize("<4sIIQQ")
+    at = struct.calcsize("<4sII")
     names = [(i if some else None) for some, i in struct.iter_unpack("<?q", block[at:at + 9 * documents])]
     at += 9 * documents
-    sizes = np.frombuffer(block, "<i8", documents, at)
-    at += 8 * documents
-    marks = np.frombuffer(block, "<u8", -(-n // STRIDE), at)
-    at += 8 * len(marks)
-    data = np.frombuffer(block, np.uint8, (bits + 7) // 8, at)
-    ids = unpack(data, marks, n, table)
-    end = np.cumsum(sizes)
-    return [(i, ids[b - s:b]) for i, b, s in zip(names, end.tolist(), sizes.tolist())]
+    number, width = np.frombuffer(block, "<i8", documents, at), np.frombuffer(block, "<i8", documents, at + 8 * documents)
+    at += 16 * documents
+    lanes = -(-number // STRIDE)
+    marks = np.frombuffer(block, "<u8", int(lanes.sum()), at).astype(np.int64) + np.repeat(8 * (np.cumsum(width) - width), lanes)
+    data = np.frombuffer(block, np.uint8, offset=at + 8 * len(marks))
+    end = np.cumsum(lanes)
+    many = np.full(len(marks), STRIDE)
+    some = number > 0
+    many[end[some] - 1] = number[some] - STRIDE * (lanes[some] - 1)
+    read = unpack(data, marks, many, table)
+    return [(i, read[b - k:b].ravel()[:n]) for i, b, k, n in zip(names, end.tolist(), lanes.tolist(), number.tolist())]
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> None:
@@ -209,11 +255,11 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     """
     spark = docs.sparkSession
     ids_at = f"{path}/unsorted"
+    kind = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
         for batch in slices(batches, "text"):
-            ids = [np.append(x, end).astype("<u4").tobytes() for x in encoder.encode(batch.column("text").to_pylist())]
+            ids = [np.append(x, end).astype(kind).tobytes() for x in encoder(vocabulary).encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokens, "id long, ids binary").write.option("compression", "zstd").parquet(ids_at)
@@ -222,7 +268,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in slices(batches, "ids"):
-            seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u4"))
+            seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
             if len(seen) > len(total):
                 seen, total = total, seen.astype(np.int64)
             total[: len(seen)] += seen
@@ -237,31 +283,37 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     sent = spark.sparkContext.broadcast(lengths)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = sent.value
         codes = canonical(size)[0]
-        held, n, number = [], 0, 0
+        for batch in slices(batches, "ids"):
+            ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
+            bits = [m.tobytes() + d.tobytes() for m, d in pack(ids, codes, size)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number, part = [], 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([n], pa.int64()), pa.array([to_block(held, codes, size)], pa.binary()),
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([n], pa.int64()), pa.array([to_block(held)], pa.binary()),
             ], names=["part", "number", "first_id", "n", "block"])
 
-        part = 0
-        for batch in slices(batches, "ids"):
-            for i, k, x in zip(batch.column("id").to_pylist(), batch.column("part").to_pylist(), batch.column("ids").to_pylist()):
-                x = np.frombuffer(x, "<u4")
-                if held and n + len(x) > BLOCK:
+        for batch in slices(batches, "bits"):
+            for i, k, many, bits in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "n", "bits"))):
+                if held and n + many > BLOCK:
                     yield row()
                     held, n, number = [], 0, number + 1
                 part = k
-                held.append((i, x))
-                n += len(x)
+                held.append((i, many, bits))
+                n += many
         if held:
             yield row()
 
-    sorted_ids = stored.repartitionByRange(F.col("id").asc_nulls_first(), F.col("ids")).sortWithinPartitions(F.col("id").asc_nulls_first(), "ids")
-    sorted_ids.select("id", F.spark_partition_id().alias("part"), "ids").mapInArrow(blocks, "part int, number int, first_id long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    # what is shuffled is coded already; ranges of ids are found over the ids alone
+    order = [F.col("id").asc_nulls_first(), F.col("bits")]
+    sorted_bits = stored.mapInArrow(coded, "id long, n long, bits binary").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_bits.select("id", F.spark_partition_id().alias("part"), "n", "bits").mapInArrow(blocks, "part int, number int, first_id long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

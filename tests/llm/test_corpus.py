@@ -297,10 +297,10 @@ def test_huffman_round_trip(limit):
             heap.append(a + b)
         assert int((counts * lengths).sum()) == cost
     codes, symbol, size, width = tokenfile.canonical(lengths)
-    for n in (0, 1, 255, 256, 257, 5000):
-        ids = rng.choice(np.flatnonzero(counts), n).astype(np.uint32)
-        data, _, marks = tokenfile.pack(ids, codes, lengths)
-        assert (tokenfile.unpack(data, marks, n, (symbol, size, width)) == ids).all()
+    documents = [(i or None, rng.choice(np.flatnonzero(counts), n).astype(np.uint32)) for i, n in enumerate((0, 1, 255, 256, 257, 5000, 0))]
+    packed = [(i, len(x), m.tobytes() + d.tobytes()) for (i, x), (m, d) in zip(documents, tokenfile.pack([x for _, x in documents], codes, lengths))]
+    back = tokenfile.from_block(tokenfile.to_block(packed), (symbol, size, width))
+    assert [(i, x.tolist()) for i, x in back] == [(i, x.tolist()) for i, x in documents]
 
 
 def test_grades(spark, docs, wide):
