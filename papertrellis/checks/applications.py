@@ -9,9 +9,9 @@ from papertrellis.checks.registry import check, joined, rounded
 from papertrellis.checks.retrieval import SPREAD, planned, spread_candidates, sql_fold
 from papertrellis.checks.views import Views
 from papertrellis.functions import urls
-from papertrellis.operators import apps, evidence, lexical, ranking
+from papertrellis.operators import apps, evidence, graph, lexical, ranking
 from papertrellis.operators.scores import namespaced
-from papertrellis.plans import profiles, search
+from papertrellis.plans import profiles, publications, search
 from papertrellis.session import cut_lineage
 
 # --- scalar url rules ---
@@ -441,21 +441,16 @@ def _(v):
 
 def indexed_papers(v: Views) -> DataFrame:
     docs = lexical.corpus_documents(v("lib_paper"), v("lib_academic"))
-    return cut_lineage(lexical.index_documents(docs, spread=v.spark.sparkContext.defaultParallelism))
+    return cut_lineage(lexical.index_documents(docs))
 
 
-_RESULTS: dict[tuple[str, str], search.Result] = {}
+def asked(v: Views) -> DataFrame:
+    return planned(v, limit=10, seed_limit=20, target_kinds=("publication",))
 
 
 def searched(v: Views) -> search.Result:
-    """The benchmark questions searched for publications; once per session and folder."""
-    key = (v.spark.sparkContext.applicationId, v.folder)
-    if key not in _RESULTS:
-        q = planned(v, limit=10, seed_limit=20, target_kinds=("publication",))
-        result = search.retrieve_and_rank(search.Corpus(library(v), index=indexed_papers(v)), q)
-        result.ranked = cut_lineage(result.ranked)
-        _RESULTS[key] = result
-    return _RESULTS[key]
+    """The benchmark questions searched for publications."""
+    return search.retrieve_and_rank(search.Corpus(library(v), index=indexed_papers(v)), asked(v))
 
 
 @check("retrieve_and_rank")
@@ -468,11 +463,8 @@ def _(v):
 @check("merge_candidates")
 def _(v):
     r = searched(v)
-    from papertrellis.operators import graph
-
-    q = planned(v, limit=10, seed_limit=20, target_kinds=("publication",))
-    entities = search.Corpus(library(v)).entities()
-    return graph.merge_candidates(r.fused, r.paths, entities, q).select(
+    entities = search.Corpus(library(v)).entities(search.candidate_ids(r.fused, r.paths))
+    return graph.merge_candidates(r.fused, r.paths, entities, asked(v)).select(
         "query_id", "entity_id", rounded("retrieval_score").alias("retrieval_score"), rounded("graph_score").alias("graph_score"))
 
 
@@ -483,22 +475,13 @@ def _(v):
 
 @check("search_publications")
 def _(v):
-    r = searched(v)
-    pubs = apps.hydrate_publications(r.ranked, v("lib_paper"))
-    q = planned(v, limit=10, seed_limit=20, target_kinds=("publication",))
-    cut = apps.publication_truncation(r.fused, pubs, r.truncated, q)
-    return apps.paper_payload(pubs).join(cut, "query_id").drop("N_innovation")
-
-
-_PROFILES: dict[tuple[str, str], profiles.Profiles] = {}
+    found = publications.search_publications(search.Corpus(library(v), index=indexed_papers(v)), v("lib_query").select("query_id", "text", "as_of"))
+    return found.drop("N_innovation")
 
 
 def hydrated(v: Views) -> profiles.Profiles:
-    key = (v.spark.sparkContext.applicationId, v.folder)
-    if key not in _PROFILES:
-        ids = v("lib_academic").select(F.concat(F.lit("a"), "id").alias("query_id"), "id")
-        _PROFILES[key] = profiles.academic_profiles(search.Corpus(library(v)), ids, v("evidence"))
-    return _PROFILES[key]
+    ids = v("lib_academic").select(F.concat(F.lit("a"), "id").alias("query_id"), "id")
+    return profiles.academic_profiles(search.Corpus(library(v)), ids, v("evidence"))
 
 
 @check("academic_profile", """

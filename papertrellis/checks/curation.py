@@ -12,7 +12,7 @@ from papertrellis.functions.ids import uuid_v5
 from papertrellis.functions.relations import dense_ids
 from papertrellis.operators import clean, normalise, quality, resolve, scope
 from papertrellis.schemas import READABLE, project_table
-from papertrellis.session import cut_lineage, ensure_checkpoint_dir
+from papertrellis.session import cut_lineage, shared_folder
 from papertrellis.sources import sinks, tables
 
 # --- normalisation ---
@@ -271,6 +271,19 @@ def _(v):
     return scope.scope_report(unis, used, papers)
 
 
+@check("unplaced_papers", """
+    SELECT r.id AS paper_id, r.name, u.a AS academic_id, a.name AS academic_name,
+           array_to_string(list_sort(coalesce(a.university_ids, [])), '|') AS universities
+    FROM (SELECT id, name, unnest(academic_ids) AS a FROM research_paper WHERE CAST(id AS BIGINT) % 3 = 0) u
+    JOIN research_paper r ON r.id = u.id JOIN academic a ON a.id = u.a""")
+def _(v):
+    # every third paper has lost its universities
+    lost = F.col("id").cast("long") % 3 == 0
+    papers = v("research_paper").withColumn("university_ids", F.when(lost, F.array().cast("array<string>")).otherwise(F.array(F.lit("u"))))
+    found = scope.unplaced_papers(papers, v("academic"))
+    return found.select("paper_id", "name", "academic_id", "academic_name", joined(F.array_sort("academic_universities")).alias("universities"))
+
+
 # --- cleaning ---
 
 
@@ -464,8 +477,7 @@ def _(v):
 
 
 @check("invalid_issues", """
-    SELECT id, name, issue FROM research_paper WHERE issue IS NOT NULL AND TRY_CAST(trim(issue) AS INT) IS NULL
-    ORDER BY id LIMIT 20""")
+    SELECT id, name, issue FROM research_paper WHERE issue IS NOT NULL AND TRY_CAST(trim(issue) AS INT) IS NULL""")
 def _(v):
     return clean.invalid_issues(v("research_paper"))
 
@@ -690,9 +702,8 @@ def _(v):
 
 
 def scratch(v: Views, name: str) -> str:
-    """A new folder in the shared checkpoint space."""
-    ensure_checkpoint_dir(v.spark)
-    return f"{v.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder, or else in the session's warehouse."""
+    return f"{shared_folder(v.spark) or v.spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
 
 
 @check("json_table", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
@@ -726,7 +737,7 @@ def _(v):
 @check("bounded_scan", """
     SELECT id, name, (SELECT count(*) FROM academic) >= 4000 AS truncated FROM academic ORDER BY id LIMIT 4000""")
 def _(v):
-    return tables.bounded_scan(v("academic").select("id", "name"))
+    return tables.bounded_scan(v("academic").select("id", "name"), 4_000)
 
 
 @check("first_page", "SELECT id, name FROM academic ORDER BY id LIMIT 25")

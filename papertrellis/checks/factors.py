@@ -78,16 +78,10 @@ class Snapshot:
         return cut_lineage(factors.citation_influence(self.papers))
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
-
-
 def factor_table(v: Views, s: Snapshot | None = None) -> DataFrame:
-    """All factors per paper; computed once per session and folder, several checks read it."""
-    key = (v.spark.sparkContext.applicationId, v.folder)
-    if key not in _TABLES:
-        s = s or Snapshot.of(v)
-        _TABLES[key] = priors.all_factors(s.papers, s.links)
-    return _TABLES[key]
+    """All factors per paper."""
+    s = s or Snapshot.of(v)
+    return priors.all_factors(s.papers, s.links)
 
 
 @check("factor_inputs", """

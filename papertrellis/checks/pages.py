@@ -84,13 +84,13 @@ def _(v):
 
 @check("position_near_heading", """
     SELECT p_partkey AS page_id, CASE
-        WHEN p_partkey % 4 = 1 THEN 'Associate Professor ' || p_name || ' & ' || p_partkey
-        WHEN p_partkey % 4 = 2 THEN 'professor ' || p_name || ' & ' || p_partkey
+        WHEN p_partkey % 4 = 1 THEN 'Associate Professor ' || p_name || ' &'
+        WHEN p_partkey % 4 = 2 THEN 'professor ' || p_name || ' &'
         WHEN p_partkey % 5 = 0 THEN 'Senior Lecturer in ' || p_type WHEN p_partkey % 5 = 2 THEN 'Professor'
         ELSE 'Acting Senior Research Fellow - Unit ' || p_partkey % 9 || ' School of Things' END AS position
     FROM part WHERE p_partkey % 4 IN (1, 2) OR p_partkey % 5 IN (0, 2) OR p_partkey % 2 = 0""")
 def _(v):
-    return pages.position_near_heading(blocks(v))
+    return pages.position_near_heading(v("profile_page"))
 
 
 @check("position_by_priority", """

@@ -33,9 +33,8 @@ def corpus(v: Views) -> DataFrame:
 
 
 def indexed(v: Views, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """The tokenised corpus, written once; the text tables lie in a single file each, so they are spread first."""
-    spread = v.spark.sparkContext.defaultParallelism
-    return cut_lineage(lexical.index_documents(corpus(v), stop_words, spread))
+    """The tokenised corpus, computed once."""
+    return cut_lineage(lexical.index_documents(corpus(v), stop_words))
 
 
 def planned(v: Views, **limits) -> DataFrame:

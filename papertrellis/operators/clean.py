@@ -169,9 +169,10 @@ def issue_profile(papers: DataFrame) -> DataFrame:
     return papers.groupBy(issue_class(F.col("issue")).alias("issue_class")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def invalid_issues(papers: DataFrame, show: int = 20) -> DataFrame:
-    """The first papers whose issue is neither missing nor a number."""
-    return papers.where(issue_class(F.col("issue")) == "text").select("id", "name", "issue").orderBy("id").limit(show)
+def invalid_issues(papers: DataFrame, show: int | None = None) -> DataFrame:
+    """The papers whose issue is neither missing nor a number, or the first ``show`` of them by id."""
+    found = papers.where(issue_class(F.col("issue")) == "text").select("id", "name", "issue")
+    return found if show is None else found.orderBy("id").limit(show)
 
 
 def required_name_check(papers: DataFrame) -> DataFrame:

@@ -127,15 +127,13 @@ def _documents(df: DataFrame, table: str, kind: str, text: Column) -> DataFrame:
     )
 
 
-def index_documents(docs: DataFrame, stop_words: tuple[str, ...] = (), spread: int | None = None) -> DataFrame:
+def index_documents(docs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: length and array<struct<term,tf>>.
 
     Write the result once (``write_index``) when several batches search the
-    same corpus; tokenising is the expensive part. ``spread`` first deals the
-    documents over that many tasks, for a corpus that lies in too few files.
+    same corpus; tokenising is the expensive part. Texts never move: a scan that
+    has too few tasks is split by spark.sql.files.maxPartitionBytes.
     """
-    if spread:
-        docs = docs.repartition(spread)
     toks = tokens(F.col("text"))
     if stop_words:
         toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
@@ -242,11 +240,18 @@ def _score(wanted: DataFrame, weights: DataFrame, on: list[str], small: bool, k1
         wanted.repartition("entity_id")
         .join(_hint(weights, small), on)
         .groupBy("query_id", "entity_id")
-        .agg(F.round(F.sum(part), 10).alias("score"))
+        .agg(F.sum(part).alias("score"))
         .where(F.col("score") > 0)
+        .withColumn("score", _steady(F.col("score")))
     )
 
 
+def _steady(score: Column) -> Column:
+    """Rounded to 10 digits behind the point, or to 10 significant ones where that would lose a small score."""
+    scale = F.pow(F.lit(10.0), 9.0 - F.floor(F.log10(score)))
+    return F.when(score >= 1e-3, F.round(score, 10)).otherwise(F.round(score * scale) / scale)
+
+
 # --- filters ---
 
 

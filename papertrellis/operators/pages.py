@@ -13,6 +13,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from papertrellis.functions import markup
 from papertrellis.functions.relations import distinct_ci
 from papertrellis.functions.text import blank_to_null, collapse, has_text, let
 
@@ -90,6 +91,10 @@ CUES = {
     "usyd": (
         "areas of interest are", "research interests include", "research interests are", "interests include", "research in",
     ),
+    "rmit": (
+        "research interests are", "research interests include", "research primarily focuses on", "research focuses on",
+        "research focus is",
+    ),
     "uts": ("areas of interest are", "research interests include", "research interests are", "interests include"),
 }
 
@@ -97,7 +102,8 @@ _BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|"
     "html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 )
-_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+# possessive runs: the matcher goes one level deeper per quoted value, never per character
+_ATTRS = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+){0,500}+"
 _ORCID = r"(?i)(0000-\d{4}-\d{4}-\d{3}[\dX])"
 _HEADINGS = ("h2", "h3", "h4")
 
@@ -220,16 +226,24 @@ def page_orcid(blocks: DataFrame, search_text: bool = True) -> DataFrame:
         F.col("orcid_url").isNotNull())
 
 
-def position_near_heading(blocks: DataFrame, reach: int = 30, longest: int = 180) -> DataFrame:
-    """First text with an academic role among the texts that follow the h1; a long text gives the role alone."""
-    heads = first_heading(blocks).select("page_id", "h_pos")
-    after = blocks.join(heads, "page_id").where((F.col("pos") >= F.col("h_pos")) & F.col("text").isNotNull())
-    order = Window.partitionBy("page_id").orderBy("pos")
-    text = clean_text(F.col("text"))
-    near = after.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= reach + 1)
-    role = longest_role(text)
-    shown = F.when(F.length(text) <= longest, text).otherwise(F.initcap(role))
-    return near.where(role.isNotNull()).groupBy("page_id").agg(F.min_by(shown, F.col("pos")).alias("position"))
+def position_near_heading(pages: DataFrame, directory: DataFrame | None = None, reach: int = 30, longest: int = 180) -> DataFrame:
+    """First string with an academic role from the h1 on; a long one gives the role alone.
+
+    Up to ``reach`` strings without a role are passed over. ``directory`` (page_id, role) names the role where the page has none.
+    """
+    strings = markup.page_rows(
+        pages, lambda root: list(enumerate(markup.after_first(root, "h1"))), {"n": "int", "raw": "string"})
+    text = clean_text(F.col("raw"))
+    near = strings.withColumn("text", text).where(F.col("text").isNotNull())
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("n"))).where(F.col("_n") <= reach + 1)
+    role = longest_role(F.col("text"))
+    shown = F.when(F.length("text") <= longest, F.col("text")).otherwise(F.initcap(role))
+    found = near.where(role.isNotNull()).groupBy("page_id").agg(F.min_by(shown, F.col("n")).alias("position"))
+    if directory is None:
+        return found
+    listed = directory.where(has_text(F.col("role"))).groupBy("page_id").agg(F.initcap(F.min("role")).alias("_listed"))
+    both = pages.select("page_id").distinct().join(found, "page_id", "left").join(listed, "page_id", "left")
+    return both.select("page_id", F.coalesce("position", "_listed").alias("position")).where(F.col("position").isNotNull())
 
 
 def position_by_priority(text: Column) -> Column:
@@ -253,33 +267,32 @@ def position_from_section(blocks: DataFrame, longest: int = 100) -> DataFrame:
 
 
 def class_texts(pages: DataFrame, classes: tuple[str, ...]) -> DataFrame:
-    """(page_id, n, class, text): texts of elements that carry one of the classes, in page order per class."""
-    parts = [
-        F.transform(
-            F.regexp_extract_all(
-                without_scripts(F.col("html")),
-                F.lit(rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{c}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"),
-                F.lit(2),
-            ),
-            _class_row(c, rank),
-        )
-        for rank, c in enumerate(classes)
-    ]
-    rows = pages.select("page_id", F.posexplode(F.concat(*parts)).alias("n", "e")).select("page_id", "n", "e.*")
-    return rows.withColumn("text", clean_text(unescape(_text_of(F.col("text"))))).where(F.col("text").isNotNull())
+    """(page_id, rank, n, class, text): full texts of the elements that carry one of the classes, in page order per class.
 
+    An element ends at its own end tag, whatever is nested in it. n counts the elements of a class; empty ones count, but give no row.
+    """
+    rows = markup.page_rows(pages, lambda root: markup.of_class(root, classes), {"rank": "int", "n": "int", "text": "string"})
+    names = F.array(*[F.lit(c) for c in classes])
+    return rows.withColumn("class", F.get(names, F.col("rank"))).withColumn("text", clean_text(F.col("text"))).where(
+        F.col("text").isNotNull())
 
-def _class_row(name: str, rank: int):
-    def row(text: Column) -> Column:
-        return F.struct(F.lit(rank).alias("rank"), F.lit(name).alias("class"), text.alias("text"))
 
-    return row
+def position_by_class(pages: DataFrame) -> DataFrame:
+    """The first element of the first position class whose first element has a text."""
+    rows = class_texts(pages, POSITION_CLASSES).where("n = 0")
+    return rows.groupBy("page_id").agg(F.min_by("text", "rank").alias("position"))
 
 
-def position_by_class(pages: DataFrame) -> DataFrame:
-    """First non-empty element of the first position class that has one."""
-    rows = class_texts(pages, POSITION_CLASSES)
-    return rows.groupBy("page_id").agg(F.min_by("text", F.struct("rank", "n")).alias("position"))
+def sibling_section(pages: DataFrame, headings: tuple[str, ...], family: str = "plain") -> DataFrame:
+    """(page_id, values): what follows the first heading of one of the names among its siblings, distinct without regard to case.
+
+    List items stand alone, a paragraph or division is one text, and other elements are passed over.
+    """
+    rows = markup.page_rows(
+        pages, lambda root: list(enumerate(markup.sibling_section(root, headings))), {"n": "int", "raw": "string"})
+    rows = rows.withColumn("text", clean_text(F.col("raw"), family)).where(F.col("text").isNotNull())
+    return rows.groupBy("page_id").agg(
+        distinct_ci(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"])).alias("values"))
 
 
 def section_text(blocks: DataFrame, headings: tuple[str, ...], mode: str = "exact", family: str = "plain") -> DataFrame:
@@ -344,8 +357,18 @@ def cue_interests(c: Column, source: str) -> Column:
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
-def resolve_interests(blocks: DataFrame) -> DataFrame:
-    """(page_id, interests): explicit section, else an Interests section, else a Research text that speaks of them."""
+def about_interests(blocks: DataFrame) -> DataFrame:
+    """(page_id, interests): what the About section names after a cue phrase, for pages without an interests section."""
+    about = section_list(blocks, ("About",)).select("page_id", F.array_join("values", " ").alias("about"))
+    cue = F.coalesce(*[blank_to_null(F.regexp_extract("about", rf"(?i){c} (.*?)(?:\.|$)", 1)) for c in CUES["rmit"]])
+    return about.select("page_id", split_interests(cue).alias("interests")).where(F.size("interests") > 0)
+
+
+def resolve_interests(blocks: DataFrame, about: bool = False) -> DataFrame:
+    """(page_id, interests): explicit section, else an Interests section, else a Research text that speaks of them.
+
+    With ``about``, pages that have none of these are read for the cue phrases of their About section.
+    """
     explicit = section_list(blocks, ("Research Interests", "Current Research Interests")).withColumnRenamed("values", "a")
     plain = section_list(blocks, ("Interests",)).withColumnRenamed("values", "b")
     research = section_list(blocks, ("Research",)).select(
@@ -356,13 +379,19 @@ def resolve_interests(blocks: DataFrame) -> DataFrame:
     both = blocks.select("page_id").distinct().join(explicit, "page_id", "left").join(plain, "page_id", "left").join(
         research, "page_id", "left")
 
+    last = F.array().cast("array<string>")
+    if about:
+        named = about_interests(blocks).withColumnRenamed("interests", "d")
+        both = both.join(named, "page_id", "left")
+        last = F.coalesce("d", last)
+
     def split_all(values: str) -> Column:
         return let(F.flatten(F.transform(values, lambda v: split_interests(v))), distinct_ci)
 
     some = lambda x: F.when(F.size(x) > 0, x)
     return both.select(
         "page_id",
-        F.coalesce(some(split_all("a")), some(split_all("b")), some(F.col("c")), F.array().cast("array<string>")).alias(
+        F.coalesce(some(split_all("a")), some(split_all("b")), some(F.col("c")), last).alias(
             "interests"))
 
 
@@ -383,7 +412,7 @@ def keyword_values(pages: DataFrame) -> DataFrame:
     """(page_id, values): distinct texts of keyword elements."""
     rows = class_texts(pages, KEYWORD_CLASSES)
     return rows.groupBy("page_id").agg(
-        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda s: s["text"])).alias(
+        F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n", "text"))), lambda s: s["text"])).alias(
             "values"))
 
 

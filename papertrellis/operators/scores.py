@@ -44,15 +44,19 @@ def score_by_paper(scores: DataFrame) -> DataFrame:
     )
 
 
-def score_by_academic(scores: DataFrame) -> DataFrame:
-    """Mean academic authority over the score rows that list the academic; repeats count again."""
-    return (
+def score_by_academic(scores: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Mean academic authority over the score rows that list the academic; repeats count again.
+
+    ``wanted`` (one column of ids) leaves other academics out before anything is summed.
+    """
+    listed = (
         scores.select(clamp_score(F.col("academic_authority_score")).alias("v"), "academic_ids")
         .where(F.col("v").isNotNull())
         .select("v", F.explode(id_array(F.col("academic_ids"))).alias("academic_id"))
-        .groupBy("academic_id")
-        .agg(F.avg("v").alias("academic_authority_score"))
     )
+    if wanted is not None:
+        listed = listed.join(wanted, F.col("academic_id") == F.col(wanted.columns[0]), "left_semi")
+    return listed.groupBy("academic_id").agg(F.avg("v").alias("academic_authority_score"))
 
 
 def distinct_urls(*urls: Column) -> Column:

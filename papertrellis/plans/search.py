@@ -22,11 +22,28 @@ class Corpus:
     def documents(self) -> DataFrame:
         return lexical.corpus_documents(self.tables.get("research_paper"), self.tables.get("academic"))
 
-    def entities(self) -> DataFrame:
-        stored = self.tables["score"]
-        papers = scores.paper_entity(self.tables["research_paper"], scores.score_by_paper(stored).drop("score_rows"))
-        people = scores.academic_entity(self.tables["academic"], scores.score_by_academic(stored))
-        nodes = scores.metadata_entity({t: d for t, d in self.tables.items() if t in scores.METADATA_TABLES})
+    def entities(self, wanted: DataFrame | None = None) -> DataFrame:
+        """All entities, or those whose namespaced ids stand in the column ``entity_id`` of ``wanted``.
+
+        Rows and scores of others are left out before scores are summed, so the work follows the candidates.
+        """
+        tables = dict(self.tables)
+        if wanted is not None:
+            ids = wanted.select(F.split("entity_id", ":", 2).alias("_e")).select(
+                F.col("_e")[0].alias("_table"), F.col("_e")[1].alias("_id")).distinct()
+            chosen = lambda table: ids.where(F.col("_table") == table).select("_id")
+            for table in ("research_paper", "academic", *scores.METADATA_TABLES):
+                if table in tables:
+                    own = tables[table]
+                    tables[table] = own.join(chosen(table), own["id"].cast("string") == F.col("_id"), "left_semi")
+            stored = tables["score"]
+            of_paper = stored.join(chosen("research_paper"), stored["research_paper_id"].cast("string") == F.col("_id"), "left_semi")
+            of_person = scores.score_by_academic(stored, chosen("academic"))
+        else:
+            of_paper, of_person = tables["score"], scores.score_by_academic(tables["score"])
+        papers = scores.paper_entity(tables["research_paper"], scores.score_by_paper(of_paper).drop("score_rows"))
+        people = scores.academic_entity(tables["academic"], of_person)
+        nodes = scores.metadata_entity({t: d for t, d in tables.items() if t in scores.METADATA_TABLES})
         return papers.unionByName(people).unionByName(nodes)
 
 
@@ -62,13 +79,18 @@ def expand(corpus: Corpus, queries: DataFrame, fused: DataFrame, budget: graph.B
     return paths, graph.truncation_flag(paths, near.truncated, queries)
 
 
+def candidate_ids(fused: DataFrame, paths: DataFrame) -> DataFrame:
+    """Entities that retrieval or the graph found for any query."""
+    return fused.select("entity_id").unionByName(paths.select(F.col("target_id").alias("entity_id"))).distinct()
+
+
 def retrieve_and_rank(
     corpus: Corpus, queries: DataFrame, budget: graph.Budget | None = None, *, with_filters: bool = False
 ) -> Result:
     """Retrieval, fusion, bounded expansion and ranking of planned queries."""
     fused = fuse(corpus, queries, with_filters=with_filters)
     paths, truncated = expand(corpus, queries, fused, budget)
-    candidates = graph.merge_candidates(fused, paths, corpus.entities(), queries)
+    candidates = graph.merge_candidates(fused, paths, corpus.entities(candidate_ids(fused, paths)), queries)
     profiles = corpus.profiles
     if profiles is None:
         profiles = ranking.built_in_profiles(fused.sparkSession)

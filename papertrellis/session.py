@@ -1,27 +1,30 @@
-"""Session helpers: the shared checkpoint folder and size-checked broadcasting."""
+"""Session helpers: results kept for later passes, and size-checked broadcasting."""
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Rows up to which a side counts as small; beyond it the planner's own join choice stands.
 SMALL_SIDE_ROWS = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; a private one only where none is named."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that spark.checkpoint.dir names for driver and executors; none is ever invented."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared folder so that later passes never recompute the input."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Compute once for later passes: in the shared folder, or on the executors' disks where none is named.
+
+    Kept on disk, a lost block is computed anew from its inputs; the shared copy also ends the plan.
+    """
+    if shared_folder(df.sparkSession):
+        return df.checkpoint()
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:

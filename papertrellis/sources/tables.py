@@ -10,8 +10,6 @@ from papertrellis.functions.text import identifier
 from papertrellis.schemas import READABLE, SCHEMAS, WORKS
 from papertrellis.session import broadcast_if_small
 
-ROW_LIMIT = 4_000
-
 
 def json_table(spark: SparkSession, path: str, schema) -> DataFrame:
     """Files that each hold a JSON array of objects; malformed content fails the job."""
@@ -30,16 +28,20 @@ def pages_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def bounded_scan(df: DataFrame, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """The first ``row_limit`` distinct ids in id order; ``truncated`` says the bound was reached."""
-    first = df.dropDuplicates(["id"]).orderBy("id").limit(row_limit)
-    reached = df.select("id").distinct().limit(row_limit).agg((F.count(F.lit(1)) >= row_limit).alias("truncated"))
-    return first.join(F.broadcast(reached), F.lit(True))
+def bounded_scan(df: DataFrame, row_limit: int) -> DataFrame:
+    """The first ``row_limit`` distinct ids in id order, one row each; ``truncated`` says the bound was reached.
+
+    Only the ids are compared over the whole table; of rows with one id the smallest by all columns stands for it.
+    """
+    ids = df.select("id").where("id IS NOT NULL").distinct().orderBy("id").limit(row_limit)
+    reached = ids.agg((F.count(F.lit(1)) >= row_limit).alias("truncated"))
+    one = df.join(F.broadcast(ids), "id", "left_semi").groupBy("id").agg(F.min(F.struct(*df.columns)).alias("_row"))
+    return one.select("_row.*").join(F.broadcast(reached), F.lit(True)).orderBy("id")
 
 
-def first_page(df: DataFrame, limit: int, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """A small read in id order; a limit of zero or less is empty."""
-    return df.orderBy("id").limit(max(0, min(limit, row_limit)))
+def first_page(df: DataFrame, limit: int) -> DataFrame:
+    """The first rows in id order; a limit of zero or less is empty."""
+    return df.orderBy("id").limit(max(0, limit))
 
 
 def rows_by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
