@@ -100,16 +100,47 @@ def _edges(relation: str, me: Column, others: Column, flip: bool) -> Column:
     return F.transform(others, edge)
 
 
+def _related(relation: str, table: str):
+    return lambda x: F.struct(F.lit(relation).alias("relation"), F.lit(table).alias("_table"), x.alias("_t"))
+
+
 def project_edges(academics: DataFrame | None, papers: DataFrame | None) -> DataFrame:
     """Distinct (edge_id, source_id, target_id, relation) of the eight relation types."""
-    parts = []
-    for df, table in ((academics, "academic"), (papers, "research_paper")):
-        if df is not None:
-            parts.append(df.where(F.col("id").isNotNull()).select(F.inline(own_edges(df, table))).drop("other_id"))
-    out = parts[0]
-    for extra in parts[1:]:
+    once, authored = [], []
+    for df, table, relations in ((academics, "academic", ACADEMIC_RELATIONS), (papers, "research_paper", PAPER_RELATIONS)):
+        if df is None:
+            continue
+        rows = df.where(F.col("id").isNotNull())
+        lists = []
+        for relation, column, target in relations:
+            if column not in df.columns:
+                continue
+            values = F.array(F.col(column).cast("string")) if column == "journal_id" else F.col(column)
+            others = F.array_distinct(id_array(values))
+            if relation == "AUTHORED":
+                pair = rows.select(F.col("id").cast("string").alias("_me"), F.explode(others).alias("_other"))
+                names = ("_me", "_other") if table == "academic" else ("_other", "_me")
+                authored.append(pair.select(F.col(names[0]).alias("_s"), F.col(names[1]).alias("_t")))
+            else:
+                lists.append(F.transform(others, _related(relation, target)))
+        if lists:
+            own = rows.select(F.lit(table).alias("_own"), F.col("id").cast("string").alias("_s"), F.inline(F.concat(*lists)))
+            # a table whose ids are unique states no edge twice
+            if not rows.groupBy(F.col("id").cast("string")).count().where("count > 1").isEmpty():
+                own = own.distinct()
+            once.append(own)
+    if authored:
+        # both sides may state an authorship: two raw ids are compared, texts are built last
+        pairs = authored[0] if len(authored) == 1 else authored[0].unionByName(authored[1])
+        once.append(pairs.distinct().select(
+            F.lit("academic").alias("_own"), "_s", F.lit("AUTHORED").alias("relation"), F.lit("research_paper").alias("_table"), "_t"))
+    out = once[0]
+    for extra in once[1:]:
         out = out.unionByName(extra)
-    return out.distinct()
+    source, target = F.concat("_own", F.lit(":"), "_s"), F.concat("_table", F.lit(":"), "_t")
+    return out.select(
+        F.concat("relation", F.lit(":"), source, F.lit(":"), target).alias("edge_id"),
+        source.alias("source_id"), target.alias("target_id"), "relation")
 
 
 def bounded_relations(df: DataFrame, table: str, maximum: int) -> DataFrame:
@@ -327,14 +358,22 @@ def _walker(budget: Budget):
 def coauthors(links: DataFrame) -> DataFrame:
     """(academic_id, coauthor_id, n_papers): two authorship hops.
 
-    The pair counts are the result itself; papers pair their own authors.
+    The pair counts are the result itself. A paper's authors pair once, the
+    smaller id first, and the counts are mirrored; the authors of one paper are
+    dealt over salted tasks, so that a paper of thousands is not one task's work.
     """
-    left = links.select("paper_id", "academic_id")
+    salts = 16
+    left = links.select("paper_id", "academic_id", F.pmod(F.xxhash64("academic_id"), F.lit(salts)).cast("int").alias("_salt"))
     right = links.select("paper_id", F.col("academic_id").alias("coauthor_id"))
-    return (
-        left.join(right, "paper_id").where(F.col("academic_id") != F.col("coauthor_id"))
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    counted = (
+        left.join(right, ["paper_id", "_salt"]).where(F.col("academic_id") < F.col("coauthor_id"))
         .groupBy("academic_id", "coauthor_id").agg(F.count(F.lit(1)).alias("n_papers"))
     )
+    return counted.select(F.explode(F.array(
+        F.struct("academic_id", "coauthor_id", "n_papers"),
+        F.struct(F.col("coauthor_id").alias("academic_id"), F.col("academic_id").alias("coauthor_id"), "n_papers"),
+    )).alias("_p")).select("_p.*")
 
 
 def merge_candidates(fused: DataFrame, paths: DataFrame, entities: DataFrame, queries: DataFrame) -> DataFrame:

@@ -402,21 +402,31 @@ def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) ->
         return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
     keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
+    if q.isEmpty():
+        return q.select("query_id").join(docs.select("entity_id").limit(0), F.lit(True))
     small = _few(q)
     found_terms = keyed.join(_hint(worded, small), "key").where(F.col("term").contains(F.col("piece")))
     by_term = (
         postings(index).join(found_terms.select("term", "query_id"), "term").select("query_id", "entity_id").distinct()
     )
     wordless = q.where(F.size("toks") == 0).withColumn("key", F.substring("needle", 1, 1))
-    by_char = (
-        docs.select("entity_id", F.explode(F.array_distinct(F.split(fold(F.col("text")), ""))).alias("key"))
-        .join(_hint(wordless.select("query_id", "key"), small), "key")
-        .select("query_id", "entity_id")
-    )
-    candidates = by_term.unionByName(by_char)
+    candidates = by_term
+    if not wordless.isEmpty():
+        by_char = (
+            docs.select("entity_id", F.explode(F.array_distinct(F.split(fold(F.col("text")), ""))).alias("key"))
+            .join(_hint(wordless.select("query_id", "key"), small), "key")
+            .select("query_id", "entity_id")
+        )
+        candidates = by_term.unionByName(by_char)
+    # the candidates travel to the texts while they are few; texts of others never move
+    asked = candidates.join(_hint(q.select("query_id", "needle", "target_kinds"), small), "query_id")
+    asked = cut_lineage(asked)
+    few = _few(asked)
+    texts = docs.select("entity_id", "kind", "text")
+    if not few:
+        texts = texts.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
     return (
-        candidates.join(docs.select("entity_id", "kind", "text"), "entity_id")
-        .join(q.select("query_id", "needle", "target_kinds"), "query_id")
+        texts.join(_hint(asked, few), "entity_id")
         .where(fold(F.col("text")).contains(F.col("needle")) & F.array_contains("target_kinds", F.col("kind")))
         .select("query_id", "entity_id")
     )
@@ -441,8 +451,10 @@ def match_all(queries: DataFrame, docs: DataFrame, eligible: DataFrame | None =
         members = members.unionByName(
             eligible.join(scopes.where(F.col("n_filters") > 0), "scope_id").select("scope_id", "entity_id", "most")
         )
+    # one constant for the batch, so every task's list is cut before it is shuffled
+    most = int(stars.agg(F.max("seed_limit")).first()[0] or 0)
     place = F.row_number().over(Window.partitionBy("scope_id").orderBy("entity_id"))
-    listed = members.withColumn("rank", place).where(F.col("rank") <= F.col("most"))
+    listed = members.withColumn("rank", place).where(F.col("rank") <= most).where(F.col("rank") <= F.col("most"))
     return stars.join(listed, "scope_id").where(F.col("rank") <= F.col("seed_limit")).select(
         "query_id", "entity_id", F.lit(1.0).alias("score")
     )
@@ -502,10 +514,10 @@ def dense_channel(
 ) -> DataFrame:
     """Exact cosine of every (query_id, vector) against all (entity_id, vector) rows.
 
-    The query vectors of one pass, a counted and bounded set, travel with the
-    tasks as a matrix. A batch of documents meets them in one matrix product and
-    only its best ``seed_limit`` per query leave the batch. More queries mean
-    more passes, never a wider one.
+    The query vectors of one pass, a counted and bounded set, are broadcast as a
+    matrix. Batches of documents meet them in blocks of one matrix product each,
+    and a task hands on its best ``seed_limit`` per query at its end. More
+    queries mean more passes, never a wider one.
     """
     n = query_vectors.count()
     passes = max(1, -(-2 * n // DENSE_PASS)) if n > DENSE_PASS else 1
@@ -516,7 +528,7 @@ def dense_channel(
         if not rows:
             continue
         best = doc_vectors.select("entity_id", "vector").mapInPandas(
-            _batch_best([r[0] for r in rows], [r[1] for r in rows], seed_limit),
+            _task_best(doc_vectors.sparkSession, [r[0] for r in rows], [r[1] for r in rows], seed_limit),
             "query_id string, entity_id string, score double",
         )
         out = best if out is None else out.unionByName(best)
@@ -530,26 +542,32 @@ def dense_channel(
     )
 
 
-def _batch_best(ids: list[str], vectors: list[list[float]], k: int):
+def _task_best(spark, ids: list[str], vectors: list[list[float]], k: int, block: int = 256):
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-    queries = unit(np.asarray(vectors, dtype="float64"))
+    sent = spark.sparkContext.broadcast(unit(np.asarray(vectors, dtype="float64")))
 
     def run(batches):
+        queries = sent.value
+        held = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
         for batch in batches:
             if batch.empty:
                 continue
-            batch = batch.sort_values("entity_id", kind="stable")
             docs = unit(np.stack(batch["vector"].to_numpy()).astype("float64"))
-            scores = np.round(docs @ queries.T, 10)
-            # rows are in id order, so a stable sort breaks ties by id
-            top = np.argsort(-scores, axis=0, kind="stable")[:k]
             entity = batch["entity_id"].to_numpy()
-            for j, query_id in enumerate(ids):
-                yield pd.DataFrame(
-                    {"query_id": query_id, "entity_id": entity[top[:, j]], "score": scores[top[:, j], j]}
-                )
+            for lo in range(0, len(ids), block):
+                scores = np.round(docs @ queries[lo:lo + block].T, 10)
+                floor = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+                for j, least in enumerate(floor):
+                    some = np.flatnonzero(scores[:, j] >= least)
+                    best, names = held[lo + j]
+                    best, names = np.concatenate([best, scores[some, j]]), np.concatenate([names, entity[some]])
+                    order = np.lexsort((names.astype(str), -best))[:k]
+                    held[lo + j] = best[order], names[order]
+        for query_id, (best, names) in zip(ids, held):
+            if len(best):
+                yield pd.DataFrame({"query_id": query_id, "entity_id": names, "score": best})
 
     return run
