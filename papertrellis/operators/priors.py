@@ -30,6 +30,7 @@ _KEYS = {
     "global": [],
 }
 _BUCKETS = 4096
+_PLACES = 4096
 
 
 def cohort_key(tier: str) -> Column:
@@ -146,13 +147,20 @@ def changed_authorities(changed: DataFrame, links: DataFrame, influenced: DataFr
     ).select("p", "academic_id", "old", "new")
 
 
+def _cells(first: Column, last: Column) -> Column:
+    """The cells of _PLACES places that an interval of places touches."""
+    return F.sequence(F.floor(first / _PLACES), F.floor(last / _PLACES))
+
+
 def authority_ranks(authority: DataFrame) -> DataFrame:
-    """(pos, value): the sorted authorities, one row per academic, 0-based."""
+    """(value, first, last, cell): the 0-based places that each value takes among the sorted authorities.
+
+    Places are kept as intervals and never listed; a row stands in every cell of places that its interval touches.
+    """
     hist = cumulative_histogram(authority, "authority")
-    return hist.select(
-        F.explode(F.sequence(F.col("n_less"), F.col("n_less") + F.col("n_equal") - 1)).alias("pos"),
-        F.col("authority").alias("value"),
-    )
+    spans = hist.select(
+        F.col("authority").alias("value"), F.col("n_less").alias("first"), (F.col("n_less") + F.col("n_equal") - 1).alias("last"))
+    return spans.select("*", F.explode(_cells(F.col("first"), F.col("last"))).alias("cell"))
 
 
 def paper_authority_prior(
@@ -196,16 +204,17 @@ def _closed_form(targets: DataFrame, authority: DataFrame, ranks: DataFrame, tot
     ).withColumn("pos", F.when((F.col("k") == 0) | (F.col("r") < F.col("lo")), F.col("r")).otherwise(F.col("r") + F.col("k")))
     # Positions depend on k and on which side of the middle I(p) lies: a few distinct ones, bounded by
     # twice the number of distinct author counts.
-    few = ranks.join(F.broadcast(wanted.select("pos").distinct()), "pos")
-    found = wanted.join(F.broadcast(few), "pos").groupBy("paper_id").agg(F.avg("value").alias("prior"))
+    places = wanted.select("pos", F.floor(F.col("pos") / _PLACES).alias("cell")).distinct()
+    few = ranks.join(places, "cell").where(F.col("pos").between(F.col("first"), F.col("last"))).select("pos", "value")
+    found = wanted.join(few, "pos").groupBy("paper_id").agg(F.avg("value").alias("prior"))
     return targets.select("paper_id").join(found, "paper_id", "left")
 
 
 def _shifted(targets: DataFrame, deltas: DataFrame, ranks: DataFrame, total: DataFrame) -> DataFrame:
     """Median after removals and insertions.
 
-    M unit changes move any order statistic by at most M places, so only the 2M
-    places around the middle are fetched per paper. Running sums go over value
+    M unit changes move any order statistic by at most M places, so only values
+    with a place among the 2M around the middle are fetched per paper. Running sums go over value
     ranges first and rows inside a range second.
     """
     own = targets.where(F.col("k") > 0).select(
@@ -225,14 +234,11 @@ def _shifted(targets: DataFrame, deltas: DataFrame, ranks: DataFrame, total: Dat
     )
     spans = sized.select(
         "p",
-        F.explode(
-            F.sequence(
-                F.greatest(F.lit(0), F.floor((F.col("rest") - 1) / 2) - F.col("reach")),
-                F.least(F.col("n_total") - 1, F.floor(F.col("rest") / 2) + F.col("reach")),
-            )
-        ).alias("pos"),
-    )
-    base = spans.join(ranks, "pos").groupBy("p", "value").agg((F.max("pos") + 1).alias("upto"))
+        F.greatest(F.lit(0), F.floor((F.col("rest") - 1) / 2) - F.col("reach")).alias("lo"),
+        F.least(F.col("n_total") - 1, F.floor(F.col("rest") / 2) + F.col("reach")).alias("hi"),
+    ).where("lo <= hi")
+    near = spans.select("*", F.explode(_cells(F.col("lo"), F.col("hi"))).alias("cell")).join(ranks, "cell")
+    base = near.where("first <= hi and last >= lo").groupBy("p", "value").agg((F.max(F.least("last", "hi")) + 1).alias("upto"))
     none = F.lit(None).cast("long")
     points = base.withColumn("d", F.lit(0).cast("long")).unionByName(d.select("p", "value", none.alias("upto"), "d"))
     points = points.groupBy("p", "value").agg(F.max("upto").alias("upto"), F.sum("d").alias("d"))

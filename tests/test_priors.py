@@ -65,9 +65,23 @@ def corpus(seed, n, spread):
     return papers, sorted(links)
 
 
-@pytest.mark.parametrize("seed,n,spread", [(1, 50, 90), (2, 24, 60), (3, 7, 9)])
-def test_prior_matches_definition(spark, seed, n, spread):
-    papers, links = corpus(seed, n, spread)
+def flat(n):
+    """All papers alike and uncited but one: every authority is the same, but for one sole maximum."""
+    papers = {f"p{i:03d}": {"field": "f1", "year": 2000, "type": "a", "c": 0 if i else 7} for i in range(n)}
+    return papers, sorted({(p, f"a{i:03d}") for i, p in enumerate(papers)} | {(p, f"b{i:03d}") for i, p in enumerate(papers)})
+
+
+def dominant(n):
+    """One cohort whose only cited paper sets the maximum for everyone."""
+    papers = {f"p{i:03d}": {"field": "f1", "year": 2000, "type": "a", "c": 100 if i == 0 else 1 + i % 7} for i in range(n)}
+    return papers, sorted((p, f"a{i:03d}") for i, p in enumerate(papers))
+
+
+@pytest.mark.parametrize("papers,links", [
+    corpus(1, 50, 90), corpus(2, 24, 60), corpus(3, 7, 9), flat(40), dominant(40)], ids=["wide", "middle", "small", "flat", "dominant"])
+@pytest.mark.parametrize("places", [3, 4096])
+def test_prior_matches_definition(spark, monkeypatch, papers, links, places):
+    monkeypatch.setattr(priors, "_PLACES", places)
     rows = [(i, p["year"], p["type"], None if p["c"] is None else float(p["c"]), p["field"],
              [a for q, a in links if q == i]) for i, p in papers.items()]
     df = spark.createDataFrame(
