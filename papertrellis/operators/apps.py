@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from papertrellis.functions.relations import attach_row, explode_ids
+from papertrellis.functions.relations import explode_ids
 from papertrellis.functions.text import blank_to_null, fold, has_text, id_array, strip
 from papertrellis.functions.urls import normalize_doi, validate_public_https_url
+from papertrellis.operators.lexical import terms_containing
 from papertrellis.operators.scores import PUBLICATION, RESEARCHER, namespaced
-from papertrellis.session import in_passes
+from papertrellis.session import broadcast_if_small
 
 RESULT_LIMIT = 25
 SEED_LIMIT = 50
+# Display sentences.
 NO_DESCRIPTION = "No verified research description is available."
 NO_SUMMARY = "Insufficient verified information is available to produce a reliable academic summary."
 
@@ -29,22 +31,30 @@ def ranked_profiles(ranked: DataFrame, snapshots: DataFrame) -> DataFrame:
     return first.join(snapshots, "entity_id")
 
 
+def containing(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, id): rows of ``texts`` (id, _s) whose text contains a word; words hold no white space.
+
+    A word lies inside one token of a text, so words meet the vocabulary of tokens, by shared letter keys, and then its postings.
+    """
+    tokens = F.explode(F.array_distinct(F.split("_s", r"(?U)\s+"))).alias("term")
+    postings = texts.select("id", tokens).where("term <> ''")
+    found = terms_containing(words.select("word").distinct(), postings.select("term").distinct())
+    return postings.join(found, "term").select("word", "id").distinct()
+
+
 def profile_text_search(snapshots: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, entity_id) where the folded query occurs in the label or a searchable text; blank finds none.
 
-    The query texts ride along as one small array per task; every profile is
-    scanned once, whatever their number.
+    The longest word of a query finds the few profiles whose texts are then searched for all of it.
     """
     texts = F.transform(F.concat(F.array("label"), id_array(F.col("searchable_text"))), fold)
-    profiles = snapshots.select("entity_id", texts.alias("_t"))
-
-    def run(part: DataFrame) -> DataFrame:
-        packed = part.agg(F.collect_list(F.struct("query_id", "needle")).alias("_q"))
-        hit = F.filter("_q", lambda q: F.exists("_t", lambda t: t.contains(q["needle"])))
-        return attach_row(profiles, packed).select("entity_id", F.explode(hit).alias("_h")).select(
-            F.col("_h.query_id").alias("query_id"), "entity_id")
-
-    return in_passes(queries.select("query_id", strip(fold(F.col("text"))).alias("needle")).where("needle <> ''"), run)
+    profiles = snapshots.select(F.col("entity_id").alias("id"), texts.alias("_t")).withColumn("_s", F.array_join("_t", " "))
+    asked = queries.select("query_id", strip(fold(F.col("text"))).alias("needle")).where("needle <> ''")
+    pieces = F.transform(F.split("needle", r"(?U)\s+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    asked = asked.withColumn("word", F.array_max(pieces)["w"])
+    candidates = asked.join(containing(asked, profiles), "word").select("query_id", "needle", "id")
+    return candidates.join(profiles.select("id", "_t"), "id").where(F.exists("_t", lambda t: t.contains(F.col("needle")))).select(
+        "query_id", F.col("id").alias("entity_id"))
 
 
 def query_words(queries: DataFrame) -> DataFrame:
@@ -54,21 +64,24 @@ def query_words(queries: DataFrame) -> DataFrame:
     return queries.withColumn("_text", text).withColumn("_words", words)
 
 
-def matching_fields(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """(query_id, field_id): fields whose name contains any query word; a blank query takes every field.
+def _asked_words(asked: DataFrame) -> DataFrame:
+    """(query_id, word, n): the different words of each query and how often it has them."""
+    return asked.select("query_id", F.explode("_words").alias("word")).groupBy("query_id", "word").agg(F.count(F.lit(1)).alias("n"))
 
-    Queries go into one array per task, the field table is scanned once.
-    """
-    named = fields.where(F.col("id").isNotNull() & has_text(F.col("name"))).select(
-        F.col("id").alias("field_id"), fold(F.col("name")).alias("_n"))
 
-    def run(part: DataFrame) -> DataFrame:
-        packed = part.agg(F.collect_list(F.struct("query_id", "_words")).alias("_q"))
-        hit = F.filter("_q", lambda q: (F.size(q["_words"]) == 0) | F.exists(q["_words"], lambda w: F.col("_n").contains(w)))
-        return attach_row(named, packed).select("field_id", F.explode(hit).alias("_h")).select(
-            F.col("_h.query_id").alias("query_id"), "field_id")
+def _for_blank(asked: DataFrame, everyone: DataFrame) -> DataFrame:
+    """(query_id, and the columns of ``everyone``): a blank query takes all; that list is its result."""
+    blank = asked.where(F.size("_words") == 0).select("query_id")
+    return everyone.join(broadcast_if_small(blank), F.lit(True))
+
 
-    return in_passes(query_words(queries), run)
+def matching_fields(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """(query_id, field_id): fields whose name contains any query word; a blank query takes every field."""
+    named = fields.where(F.col("id").isNotNull() & has_text(F.col("name"))).select("id", fold(F.col("name")).alias("_s"))
+    asked = query_words(queries)
+    words = _asked_words(asked)
+    found = words.join(containing(words, named), "word").select("query_id", "id").distinct()
+    return found.unionByName(_for_blank(asked, named.select("id"))).withColumnRenamed("id", "field_id")
 
 
 def researchers_by_field(queries: DataFrame, academics: DataFrame, fields: DataFrame) -> DataFrame:
@@ -82,21 +95,17 @@ def researchers_by_text(queries: DataFrame, academics: DataFrame) -> DataFrame:
     """(query_id, id, score): words found in name and position, plus all words again for the whole query."""
     text = F.concat(fold(F.coalesce("name", F.lit(""))), F.lit(" "), fold(F.coalesce("academic_position", F.lit(""))))
     people = academics.select("id", text.alias("_s"))
-
-    def judged(q: Column) -> Column:
-        words = F.size(F.filter(q["_words"], lambda w: F.col("_s").contains(w)))
-        whole = (q["_text"] != "") & F.col("_s").contains(q["_text"])
-        return F.struct(
-            q["query_id"].alias("query_id"), words.alias("n"), F.size(q["_words"]).alias("m"),
-            (words + F.when(whole, F.size(q["_words"])).otherwise(0)).alias("score"))
-
-    def run(part: DataFrame) -> DataFrame:
-        packed = part.agg(F.collect_list(F.struct("query_id", "_text", "_words")).alias("_q"))
-        found = F.filter(F.transform("_q", judged), lambda j: (j["m"] == 0) | (j["n"] > 0))
-        return attach_row(people, packed).select("id", F.explode(found).alias("_j")).select(
-            F.col("_j.query_id").alias("query_id"), "id", F.col("_j.score").alias("score"))
-
-    return in_passes(query_words(queries), run)
+    asked = query_words(queries)
+    words = _asked_words(asked)
+    met = words.join(containing(words, people), "word").groupBy("query_id", "id").agg(
+        F.sum("n").alias("score"), F.count(F.lit(1)).alias("_kinds"))
+    met = met.join(asked.select("query_id", "_text", F.size("_words").alias("_m"), F.size(F.array_distinct("_words")).alias("_all")), "query_id")
+    # only where every word was met can the whole query stand
+    whole = met.where(F.col("_kinds") == F.col("_all")).join(people, "id").where(F.col("_s").contains(F.col("_text"))).select(
+        "query_id", "id", F.col("_m").alias("_more"))
+    found = met.select("query_id", "id", "score").join(whole, ["query_id", "id"], "left").select(
+        "query_id", "id", (F.col("score") + F.coalesce("_more", F.lit(0))).cast("int").alias("score"))
+    return found.unionByName(_for_blank(asked, people.select("id")).select("query_id", "id", F.lit(0).alias("score")))
 
 
 def directory_filter(rows: DataFrame, queries: DataFrame, academics: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

@@ -374,6 +374,25 @@ def bm25_filtered(
 # --- rules beside BM25 ---
 
 
+def grams(term: Column) -> Column:
+    """The distinct one-, two- and three-letter pieces of a term: a text that occurs in it begins with one of them."""
+
+    def of(n: int) -> Column:
+        return F.when(
+            F.length(term) >= n,
+            F.transform(F.sequence(F.lit(1), F.length(term) - (n - 1)), lambda i: F.substring(term, i, F.lit(n))),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(of(1), of(2), of(3)))
+
+
+def terms_containing(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, term): terms that contain a word; ``words`` and ``vocabulary`` are distinct and not blank. No pair without a shared key is tried."""
+    keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
+    asked = words.select("word", F.substring("word", 1, 3).alias("key"))
+    return keyed.join(asked, "key").where(F.col("term").contains(F.col("word"))).select("word", "term")
+
+
 def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, entity_id) where the folded query text occurs inside the folded document text.
 
@@ -392,15 +411,6 @@ def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) ->
     worded = q.where(F.size("toks") > 0).withColumn("piece", longest).withColumn("key", F.substring("piece", 1, 3))
     vocabulary = postings(index).select("term").distinct()
 
-    def grams(term: Column) -> Column:
-        def of(n: int) -> Column:
-            return F.when(
-                F.length(term) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(term) - (n - 1)), lambda i: F.substring(term, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-
-        return F.array_distinct(F.concat(of(1), of(2), of(3)))
-
     keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
     if q.isEmpty():
         return q.select("query_id").join(docs.select("entity_id").limit(0), F.lit(True))
