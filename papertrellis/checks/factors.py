@@ -57,6 +57,50 @@ SQL = {
                        row_number() OVER (PARTITION BY l.paper_id, l.academic_id ORDER BY b.rn) AS k
                 FROM links l JOIN besti b ON b.academic_id = l.academic_id AND b.paper_id <> l.paper_id) z
             WHERE k <= 5 GROUP BY ALL) y GROUP BY paper_id""",
+    # --- the prior by its definition: every target against every paper of its cohorts ---
+    "cohx": """
+        SELECT *, count(*) FILTER (c = m3) OVER (PARTITION BY fld, yr, pt) AS t3,
+               max(CASE WHEN c < m3 THEN c END) OVER (PARTITION BY fld, yr, pt) AS s3,
+               count(*) FILTER (c = m2) OVER (PARTITION BY yr, pt) AS t2,
+               max(CASE WHEN c < m2 THEN c END) OVER (PARTITION BY yr, pt) AS s2,
+               count(*) FILTER (c = m1) OVER (PARTITION BY yr) AS t1, max(CASE WHEN c < m1 THEN c END) OVER (PARTITION BY yr) AS s1,
+               count(*) FILTER (c = m0) OVER () AS t0, max(CASE WHEN c < m0 THEN c END) OVER () AS s0 FROM coh""",
+    "tgt": "SELECT x.* FROM cohx x LEFT JOIN obs o ON o.paper_id = x.paper_id WHERE o.paper_id IS NULL",
+    "together": """
+        SELECT p.paper_id AS p, q.paper_id AS q, q.c,
+               CASE WHEN q.n3 - CAST(q.yr = p.yr AND q.pt = p.pt AND q.fld = p.fld AS INT) >= 5
+                    THEN CASE WHEN q.yr = p.yr AND q.pt = p.pt AND q.fld = p.fld AND p.c = q.m3 AND q.t3 = 1 THEN q.s3 ELSE q.m3 END
+                    WHEN q.n2 - CAST(q.yr = p.yr AND q.pt = p.pt AS INT) >= 5
+                    THEN CASE WHEN q.yr = p.yr AND q.pt = p.pt AND p.c = q.m2 AND q.t2 = 1 THEN q.s2 ELSE q.m2 END
+                    WHEN q.n1 - CAST(q.yr = p.yr AS INT) >= 5
+                    THEN CASE WHEN q.yr = p.yr AND p.c = q.m1 AND q.t1 = 1 THEN q.s1 ELSE q.m1 END
+                    WHEN p.c = q.m0 AND q.t0 = 1 THEN q.s0 ELSE q.m0 END AS m
+        FROM tgt p JOIN cohx q ON q.paper_id <> p.paper_id AND (q.yr = p.yr OR p.c = p.m0 AND p.t0 = 1)
+        WHERE p.c IS NOT NULL AND q.c IS NOT NULL""",
+    "changed": """
+        SELECT p, q, i2 FROM (SELECT p, q, CASE WHEN coalesce(m, 0) <= 0 THEN 0e0 ELSE ln(1 + c) / ln(1 + m) END AS i2 FROM together) z
+        JOIN infl f ON f.paper_id = q WHERE abs(i2 - f.i) > 1e-13""",
+    "aff": """
+        SELECT DISTINCT p, academic_id FROM (
+            SELECT c.p, l.academic_id FROM changed c JOIN links l ON l.paper_id = c.q
+            UNION ALL SELECT t.paper_id, l.academic_id FROM tgt t JOIN links l ON l.paper_id = t.paper_id WHERE t.c IS NOT NULL) z""",
+    "newauth": """
+        SELECT p, academic_id, avg(i) AS a FROM (
+            SELECT a.p, a.academic_id, coalesce(c.i2, f.i) AS i, row_number() OVER (
+                PARTITION BY a.p, a.academic_id ORDER BY coalesce(c.i2, f.i) DESC, l.paper_id) AS rn
+            FROM aff a JOIN links l ON l.academic_id = a.academic_id AND l.paper_id <> a.p
+            JOIN infl f ON f.paper_id = l.paper_id AND f.i IS NOT NULL
+            LEFT JOIN changed c ON c.p = a.p AND c.q = l.paper_id) z WHERE rn <= 5 GROUP BY ALL""",
+    "authhist": "SELECT round(a, 12) AS v, count(*) AS n FROM auth GROUP BY ALL",
+    "without": """
+        SELECT p, v, sum(n) AS n FROM (
+            SELECT t.paper_id AS p, h.v, h.n FROM tgt t CROSS JOIN authhist h
+            UNION ALL SELECT a.p, round(t.a, 12), -1 FROM aff a JOIN auth t ON t.academic_id = a.academic_id
+            UNION ALL SELECT p, round(a, 12), 1 FROM newauth) z GROUP BY ALL HAVING sum(n) > 0""",
+    "prior": """
+        SELECT p AS paper_id, avg(v) AS prior FROM (
+            SELECT p, v, n, sum(n) OVER (PARTITION BY p ORDER BY v) AS upto, sum(n) OVER (PARTITION BY p) AS total FROM without) z
+        JOIN (SELECT unnest([1, 2]) AS k) places ON (total + k - 2) // 2 >= upto - n AND (total + k - 2) // 2 < upto GROUP BY p""",
 }
 
 
@@ -139,7 +183,8 @@ def _(v):
         "paper_id", rounded("observed").alias("observed"))
 
 
-@check("paper_authority_prior")
+@check("paper_authority_prior", """
+    SELECT t.paper_id, round(p.prior, 6) AS prior FROM tgt t LEFT JOIN prior p ON p.paper_id = t.paper_id""", **SQL)
 def _(v):
     return factor_table(v).where("authority_status <> 'observed'").select(
         "paper_id", rounded("prior").alias("prior"))
@@ -147,8 +192,8 @@ def _(v):
 
 @check("authority_status", """
     SELECT f.paper_id, CASE WHEN o.paper_id IS NOT NULL THEN 'observed'
-                            WHEN (SELECT count(*) FROM auth) > 50 THEN 'imputed' ELSE 'unavailable' END AS status
-    FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id""", **SQL)
+                            WHEN p.prior IS NOT NULL THEN 'imputed' ELSE 'unavailable' END AS status
+    FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id LEFT JOIN prior p ON p.paper_id = f.paper_id""", **SQL)
 def _(v):
     return factor_table(v).select("paper_id", F.col("authority_status").alias("status"))
 
@@ -173,17 +218,14 @@ def _(v):
 
 @check("score_records", """
     SELECT q.paper_id AS research_paper_id, round(q.q, 6) AS paper_authority_score,
-           round(q.i, 6) AS citation_influence_score, round(o.a, 6) AS observed_authority
-    FROM qual q LEFT JOIN obs o ON o.paper_id = q.paper_id""", **SQL)
+           round(q.i, 6) AS citation_influence_score, round(coalesce(o.a, p.prior), 6) AS author_authority_score
+    FROM qual q LEFT JOIN obs o ON o.paper_id = q.paper_id LEFT JOIN prior p ON p.paper_id = q.paper_id""", **SQL)
 def _(v):
     s = Snapshot.of(v)
-    table = factor_table(v, s)
-    return priors.score_records(table, s.inputs).join(
-        table.select(F.col("paper_id").alias("research_paper_id"), "authority_status"), "research_paper_id"
-    ).select(
+    return priors.score_records(factor_table(v, s), s.inputs).select(
         "research_paper_id", rounded("paper_authority_score").alias("paper_authority_score"),
         rounded("citation_influence_score").alias("citation_influence_score"),
-        F.when(F.col("authority_status") == "observed", rounded("author_authority_score")).alias("observed_authority"))
+        rounded("author_authority_score").alias("author_authority_score"))
 
 
 DIST = """'{f}' AS factor, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25,
@@ -203,13 +245,17 @@ def _(v):
 @check("backfill_summary", f"""
     SELECT (SELECT count(*) FROM fin) AS output_rows, (SELECT count(q) FROM qual) AS with_quality,
            (SELECT count(i) FROM infl) AS with_influence, (SELECT count(*) FROM obs) AS observed,
-           (SELECT count(*) FROM fin) - (SELECT count(*) FROM obs) AS imputed, 0 AS unavailable,
+           (SELECT count(prior) FROM prior) AS imputed,
+           (SELECT count(*) FROM tgt) - (SELECT count(prior) FROM prior) AS unavailable,
+           (SELECT round(quantile_cont(prior, 0.5), 6) FROM prior) AS prior_median,
+           (SELECT round(quantile_cont(x, 0.5), 6) FROM (SELECT a AS x FROM obs UNION ALL SELECT prior FROM prior) z) AS authority_median,
            (SELECT round(quantile_cont(q, 0.5), 6) FROM qual) AS quality_median,
            (SELECT round(quantile_cont(i, 0.5), 6) FROM infl) AS influence_median, true AS ids_map""", **SQL)
 def _(v):
     s = Snapshot.of(v)
     return priors.backfill_summary(factor_table(v, s), s.inputs).select(
         "output_rows", "with_quality", "with_influence", "observed", "imputed", "unavailable",
+        rounded("prior_median").alias("prior_median"), rounded("authority_median").alias("authority_median"),
         rounded("quality_median").alias("quality_median"), rounded("influence_median").alias("influence_median"),
         "ids_map")
 
@@ -217,9 +263,9 @@ def _(v):
 @check("provenance_report", """
     SELECT f.paper_id AS research_paper_id,
            CASE WHEN o.paper_id IS NULL THEN 'imputed' ELSE 'observed' END AS author_authority_status,
-           o.paper_id IS NULL AS has_prior
-    FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id""", **SQL)
+           CASE WHEN o.paper_id IS NULL THEN round(p.prior, 6) END AS imputation_prior
+    FROM fin f LEFT JOIN obs o ON o.paper_id = f.paper_id LEFT JOIN prior p ON p.paper_id = f.paper_id""", **SQL)
 def _(v):
     return priors.provenance_report(factor_table(v)).select(
         "research_paper_id", "author_authority_status",
-        F.col("author_authority_imputation_prior").isNotNull().alias("has_prior"))
+        rounded("author_authority_imputation_prior").alias("imputation_prior"))
