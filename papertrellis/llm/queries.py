@@ -72,4 +72,32 @@ def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
-ORACLES: dict[str, str] = {}
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLES: dict[str, str] = {
+    "op4_linededup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM docs),
+        keyed AS (SELECT *, {_LOWER.format(f'trim(line, {_BLANKS})')} AS k FROM lines),
+        heavy AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        judged AS (SELECT keyed.*, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN heavy ON heavy.k = keyed.k)
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM judged GROUP BY r""",
+    "op8_decontam": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        cut AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM item WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM cut),
+        doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        spot AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc CROSS JOIN (SELECT DISTINCT k FROM win) ks WHERE len(w) >= k),
+        met AS (SELECT spot.r, spot.i, spot.k, win.item FROM (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM spot) spot
+                JOIN win ON win.k = spot.k AND win.g = spot.g),
+        hit AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + k)) AS pos FROM met) z GROUP BY r),
+        named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT r, item FROM met) z GROUP BY r)
+        SELECT doc.doc_id, len(doc.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+               sha256(coalesce(named.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN hit ON hit.r = doc.r LEFT JOIN named ON named.r = doc.r""",
+}
