@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrellis.functions.text import fold, id_array, strip, term_counts, tokens
 from papertrellis.operators.scores import PUBLICATION, RESEARCHER, namespaced
-from papertrellis.session import SMALL_SIDE_ROWS, cut_lineage
+from papertrellis.session import cut_lineage, is_small
 
 # Words that choose a ranking profile, matched anywhere in the text.
 RECENT_WORDS = ("latest", "recent", "newest", "current")
@@ -173,10 +173,6 @@ def query_terms(queries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFra
     return queries.select("query_id", F.inline(term_counts(toks))).withColumnRenamed("tf", "qtf")
 
 
-def _few(df: DataFrame) -> bool:
-    return df.limit(SMALL_SIDE_ROWS + 1).count() <= SMALL_SIDE_ROWS
-
-
 def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
@@ -204,7 +200,7 @@ def bm25(
     task's output before it is shuffled by query.
     """
     terms = query_terms(queries, stop_words)
-    small = _few(terms)
+    small = is_small(terms)
     wanted = postings(index).join(_hint(terms.select("term").distinct(), small), "term")
     kinds = query_kinds(queries)
     df_by_kind = wanted.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -340,7 +336,7 @@ def apply_filters(queries: DataFrame, docs: DataFrame, accepted: DataFrame) -> D
     scopes = scoped.select("scope_id", F.size("filters").alias("n_keys"),
                            F.array_distinct("target_kinds").alias("target_kinds")).dropDuplicates(["scope_id"])
     rules = accepted.join(scopes, "scope_id")
-    matched = document_attributes(docs).join(_hint(rules, _few(accepted)), ["key", "value"]).where(
+    matched = document_attributes(docs).join(_hint(rules, is_small(accepted)), ["key", "value"]).where(
         F.array_contains("target_kinds", F.col("kind"))
     )
     # All rows of a document sit in one task, so this combines before the shuffle.
@@ -354,7 +350,7 @@ def bm25_filtered(
     """BM25 whose statistics cover the eligible documents of each query's scope."""
     scoped = scope_key(queries).where(F.size("filters") > 0).select("query_id", "scope_id", "text")
     terms = query_terms(scoped).join(scoped.select("query_id", "scope_id"), "query_id")
-    small = _few(terms)
+    small = is_small(terms)
     in_scope = index.join(eligible, "entity_id")
     stats = in_scope.groupBy("scope_id").agg(
         F.count(F.lit(1)).alias("n"), _average(F.avg("doc_len"), 0.0).alias("avgdl")
@@ -414,7 +410,7 @@ def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) ->
     keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
     if q.isEmpty():
         return q.select("query_id").join(docs.select("entity_id").limit(0), F.lit(True))
-    small = _few(q)
+    small = is_small(q)
     found_terms = keyed.join(_hint(worded, small), "key").where(F.col("term").contains(F.col("piece")))
     by_term = (
         postings(index).join(found_terms.select("term", "query_id"), "term").select("query_id", "entity_id").distinct()
@@ -431,7 +427,7 @@ def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) ->
     # the candidates travel to the texts while they are few; texts of others never move
     asked = candidates.join(_hint(q.select("query_id", "needle", "target_kinds"), small), "query_id")
     asked = cut_lineage(asked)
-    few = _few(asked)
+    few = is_small(asked)
     texts = docs.select("entity_id", "kind", "text")
     if not few:
         texts = texts.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Rows up to which a side counts as small; beyond it the planner's own join choice stands.
+# Rows and bytes up to which a side counts as small; beyond them the planner's own join choice stands.
 SMALL_SIDE_ROWS = 200_000
+SMALL_SIDE_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -27,24 +28,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that the side holds at most ``limit`` rows."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+def is_small(df: DataFrame, rows: int = SMALL_SIDE_ROWS, size: int = SMALL_SIDE_BYTES) -> bool:
+    """Whether a side has at most so many rows and so many bytes, counted over no more than ``rows`` + 1 of them."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
-def in_passes(queries: DataFrame, run, limit: int = 20_000) -> DataFrame:
-    """Union of ``run(part)`` over parts of the query table of about ``limit`` rows.
-
-    For operators that carry a part of the queries with every task: more
-    queries mean more passes, never a larger part.
-    """
-    n = queries.count()
-    passes = 1 if n <= limit else -(-2 * n // limit)
-    out = None
-    for i in range(passes):
-        part = queries if passes == 1 else queries.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i)
-        done = run(part)
-        out = done if out is None else out.unionByName(done)
-    return out
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast only after counting that the side is small; the same rows come out either way."""
+    return F.broadcast(df) if is_small(df) else df
