@@ -8,6 +8,7 @@ and looks one code up per step and checkpoint.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import re
@@ -258,25 +259,32 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     kind = "<u2" if max(Tokenizer.from_file(vocabulary).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            ids = [np.append(x, end).astype(kind).tobytes() for x in encoder(vocabulary).encode(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary())], names=["id", "ids"])
-
-    docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tokens, "id long, ids binary").write.option("compression", "zstd").parquet(ids_at)
-    stored = spark.read.parquet(ids_at)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, "ids"):
-            seen = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind))
-            if len(seen) > len(total):
-                seen, total = total, seen.astype(np.int64)
-            total[: len(seen)] += seen
+        own, total = encoder(vocabulary), np.zeros(0, np.int64)
+        none = [pa.array([[]], pa.list_(t)) for t in (pa.int32(), pa.int64())]
+        gc.disable()  # millions of small lists, none of them in a ring
+        try:
+            for batch in slices(batches, "text"):
+                ids = [np.append(x, end).astype(kind).tobytes() for x in own.encode(batch.column("text").to_pylist())]
+                seen = np.bincount(np.frombuffer(b"".join(ids), kind))
+                if len(seen) > len(total):
+                    seen, total = total, seen.astype(np.int64)
+                total[: len(seen)] += seen
+                nulls = [pa.nulls(len(ids), x.type) for x in none]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), *nulls], names=["id", "ids", "tokens", "counts"])
+        finally:
+            gc.enable()
+        # the task's counts in a row of their own
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([some.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[some]], pa.list_(pa.int64()))], names=["id", "ids", "tokens", "counts"])
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows.mapInArrow(tokens, "id long, ids binary, tokens array<int>, counts array<long>").write.option("compression", "zstd").parquet(ids_at)
+    stored = spark.read.parquet(ids_at)
+    counted = stored.where("tokens is not null").select(F.explode(F.arrays_zip("tokens", "counts")).alias("t"))
     # one row per id of the vocabulary at most
-    seen = stored.select("ids").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    seen = counted.groupBy(F.col("t.tokens").alias("token")).agg(F.sum("t.counts").alias("n")).toPandas()
+    stored = stored.where("ids is not null").select("id", "ids")
     counts = np.zeros(int(seen["token"].max()) + 1 if len(seen) else 1, np.int64)
     counts[seen["token"].to_numpy(int)] = seen["n"]
     lengths = code_lengths(counts)
@@ -292,18 +300,18 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, number, part = [], 0, 0, 0
+        held, n, number, part, before = [], 0, 0, 0, 0
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([
-                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held[0][0]], pa.int64()), pa.array([n], pa.int64()), pa.array([to_block(held)], pa.binary()),
-            ], names=["part", "number", "first_id", "n", "block"])
+                pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()), pa.array([to_block(held)], pa.binary()),
+            ], names=["part", "number", "before", "n", "block"])
 
         for batch in slices(batches, "bits"):
             for i, k, many, bits in zip(*(batch.column(c).to_pylist() for c in ("id", "part", "n", "bits"))):
                 if held and n + many > BLOCK:
                     yield row()
-                    held, n, number = [], 0, number + 1
+                    held, n, number, before = [], 0, number + 1, before + n
                 part = k
                 held.append((i, many, bits))
                 n += many
@@ -313,7 +321,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     # what is shuffled is coded already; ranges of ids are found over the ids alone
     order = [F.col("id").asc_nulls_first(), F.col("bits")]
     sorted_bits = stored.mapInArrow(coded, "id long, n long, bits binary").repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_bits.select("id", F.spark_partition_id().alias("part"), "n", "bits").mapInArrow(blocks, "part int, number int, first_id long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    sorted_bits.select("id", F.spark_partition_id().alias("part"), "n", "bits").mapInArrow(blocks, "part int, number int, before long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -330,13 +338,10 @@ def _decoded(spark: SparkSession, path: str, brief: bool) -> DataFrame:
     lengths = spark.read.parquet(f"{path}/code").first()["lengths"]
     sent = spark.sparkContext.broadcast(lengths)
     stored = spark.read.parquet(f"{path}/blocks")
-    # ids before each part: one row per part; then before each block, part by part
+    # ids before each part: one row per written file, so blocks need not move
     parts = stored.groupBy("part").agg(F.sum("n").alias("n"))
-    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    in_part = Window.partitionBy("part").orderBy("number")
-    starts = stored.select("part", "number", (F.sum("n").over(in_part) - F.col("n")).alias("block_start")).join(F.broadcast(before), "part")
-    starts = starts.select("part", "number", (F.col("part_start") + F.col("block_start")).alias("block_start"))
-    placed = stored.select("part", "number", "block").join(starts, ["part", "number"]).select("block_start", "block")
+    starts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
+    placed = stored.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("block_start"), "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, symbol, size, width = canonical(np.frombuffer(sent.value, np.uint8))
