@@ -9,7 +9,7 @@ from papertrellis.functions.text import blank_to_null, fold, has_text, id_array,
 from papertrellis.functions.urls import normalize_doi, validate_public_https_url
 from papertrellis.operators.lexical import terms_containing
 from papertrellis.operators.scores import PUBLICATION, RESEARCHER, namespaced
-from papertrellis.session import broadcast_if_small
+from papertrellis.session import broadcast_if_small, cut_lineage
 
 RESULT_LIMIT = 25
 SEED_LIMIT = 50
@@ -147,13 +147,14 @@ def researcher_results(
     by_field = researchers_by_field(queries, academics, tables["field"])
     fielded = matching_fields(queries, tables["field"]).select("query_id").distinct()
     by_text = researchers_by_text(queries.join(fielded, "query_id", "left_anti"), academics)
-    rows = directory_filter(by_field.unionByName(by_text), queries, academics, tables)
+    # read for the totals and for the lists, then the lists four times: each is computed once
+    rows = cut_lineage(directory_filter(by_field.unionByName(by_text), queries, academics, tables))
     people = academics.select(
         "id", F.when(has_text(F.col("name")), F.col("name")).otherwise(F.col("id")).alias("name"), "academic_position",
         "profile_url", "orcid_url", "university_ids", "discipline_ids", "field_ids")
     sizes = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("_total"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), fold(F.col("name")), F.concat(F.lit("academic:"), "id"))
-    top = rows.join(people, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = cut_lineage(rows.join(people, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
     shown = top.select("id", "university_ids", "discipline_ids", "field_ids").dropDuplicates(["id"])
     top = top.join(sizes, "query_id").join(
         first_related_name(shown, "university_ids", tables["university"], "institution"), "id", "left").join(
