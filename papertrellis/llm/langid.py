@@ -25,7 +25,7 @@ START = "▁"
 WORD = 40
 #: Smallest probability of a piece; forty of them still fit a double.
 FLOOR = 1e-7
-SLICE = 16 << 20
+SLICE = 6 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
