@@ -34,7 +34,7 @@ STRIDE = 256
 #: Ids in a block; a longer document is a block of its own.
 BLOCK = 1 << 18
 #: Different chunks of text whose ids a task remembers.
-REMEMBER = 800_000
+REMEMBER = 500_000
 
 
 # The pattern and the byte alphabet of the public byte-level vocabulary.
@@ -291,13 +291,20 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
     sent = spark.sparkContext.broadcast(lengths)
 
+    # ranges of ids from the stored ids alone, so that nothing is coded only to be sampled
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = stored.approxQuantile("id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds = np.unique(np.array(found, np.float64))
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = sent.value
         codes = canonical(size)[0]
         for batch in slices(batches, "ids"):
             ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             bits = [m.tobytes() + d.tobytes() for m, d in pack(ids, codes, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+            part = [0 if i is None else int(np.searchsorted(bounds, float(i))) for i in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(part, pa.int32()), pa.array([len(x) for x in ids], pa.int64()), pa.array(bits, pa.binary())], names=["id", "part", "n", "bits"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, number, part, before = [], 0, 0, 0, 0
@@ -318,10 +325,9 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
         if held:
             yield row()
 
-    # what is shuffled is coded already; ranges of ids are found over the ids alone
-    order = [F.col("id").asc_nulls_first(), F.col("bits")]
-    sorted_bits = stored.mapInArrow(coded, "id long, n long, bits binary").repartitionByRange(*order).sortWithinPartitions(*order)
-    sorted_bits.select("id", F.spark_partition_id().alias("part"), "n", "bits").mapInArrow(blocks, "part int, number int, before long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    # what is shuffled is coded already
+    dealt = stored.mapInArrow(coded, "id long, part int, n long, bits binary").repartitionById(parts, F.col("part"))
+    dealt.sortWithinPartitions(F.col("id").asc_nulls_first(), "bits").mapInArrow(blocks, "part int, number int, before long, n long, block binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
