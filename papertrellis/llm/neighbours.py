@@ -26,13 +26,13 @@ EPSILON = 1e-6
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, v array<float or double>, dim) of the vectors that take part: not null, not zero, all components finite.
 
-    Of rows with one id the largest vector by element order stands for it. Rows without an id take no part.
+    Rows of equal id and vector are one; an id with several vectors has a row for each. Rows without an id take no part.
     """
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     chosen = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id is not null and v is not null and size(v) > 0")
     chosen = chosen.where(finite & F.exists(v, lambda x: x != 0))
-    return chosen.groupBy("id").agg(F.max("v").alias("v")).withColumn("dim", F.size("v"))
+    return chosen.distinct().withColumn("dim", F.size("v"))
 
 
 def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,14 +52,17 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def tile(queries: tuple, block: tuple, query_ids: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query row, block row) of the pairs that may be among the k nearest of a query, given its k-th best score so far."""
+def tile(queries: tuple, block: tuple, own: tuple[np.ndarray, np.ndarray], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, block row) of the pairs that may be among the k nearest of a query, given its k-th best score so far.
+
+    ``own`` has the pairs, in the same form, of a query and its own row.
+    """
     (qa, sa, na, ea), (qb, sb, nb, eb) = queries, block
     # products of int8 summed in float32 are whole numbers below 2^24 up to 1,040 components; longer vectors take double
     kind = np.float32 if qa.shape[1] <= 1040 else np.float64
     near = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64) * (sa[:, None] * sb[None, :])
     error = na[:, None] * eb[None, :] + ea[:, None] * (nb + eb)[None, :] + EPSILON
-    near[query_ids[:, None] == ids[None, :]] = -np.inf
+    near[own] = -np.inf
     if near.shape[1] > k:
         low = near - error
         floor = np.maximum(floor, np.partition(low, -k, axis=1)[:, -k])
@@ -67,9 +70,10 @@ def tile(queries: tuple, block: tuple, query_ids: np.ndarray, ids: np.ndarray, k
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest of every query among ``vectors`` but the row of its own id, all if there are fewer.
+    """(query_id, rank, id, score): the k nearest of every query among ``vectors`` but its own row, all if there are fewer.
 
-    Both tables are as usable() makes them. Ties go to the smaller id; vectors of other dimensions than the query's are no candidates.
+    Both tables are as usable() makes them; its own row has the query's id and vector, and a query id with several vectors has ranks for
+    each. Ties go to the smaller id; vectors of other dimensions than the query's are no candidates.
     Blocks of queries meet blocks of candidates on a grid, so neither side is ever whole in one place; a task keeps k rows per query.
     """
     spark = vectors.sparkSession
@@ -112,7 +116,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
     met = left.join(right, ["qblock", "col"]).select("dim", "qblock", "ids", "q", "bounds", "v", "ids_b", "q_b", "bounds_b", "v_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict = {}  # query id: its k best as (score, -order of id, ...), the worst first
+        heaps: dict = {}  # (query block, row in it): its id and k best as (score, -order of id, ...), the worst first
 
         def side(batch, n, ids, q, bounds, v, dim):
             b = np.frombuffer(batch.column(bounds)[n].as_py()).reshape(3, -1)
@@ -134,19 +138,25 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, query_rows: int
                 dim = batch.column("dim")[n].as_py()
                 ids_a, qa, va = side(batch, n, "ids", "q", "bounds", "v", dim)
                 ids_b, qb, vb = side(batch, n, "ids_b", "q_b", "bounds_b", "v_b", dim)
-                floor = np.array([h[0][0] if len(h := heaps.get(i, ())) == k else -np.inf for i in ids_a])
-                x, y = tile(qa, qb, np.array(ids_a), np.array(ids_b), k, floor)
+                at = batch.column("qblock")[n].as_py()
+                floor = np.array([h[0][0] if len(h := heaps.get((at, a), (None, ()))[1]) == k else -np.inf for a in range(len(ids_a))])
+                x, y = np.nonzero(np.array(ids_a)[:, None] == np.array(ids_b)[None, :])
+                equal = (va[x] == vb[y]).all(1)
+                x, y = tile(qa, qb, (x[equal], y[equal]), k, floor)
                 for lo in range(0, len(x), 65536):
                     some_x, some_y = x[lo:lo + 65536], y[lo:lo + 65536]
                     for a, b, s in zip(some_x.tolist(), some_y.tolist(), cosines(va[some_x], vb[some_y]).tolist()):
-                        heap, entry = heaps.setdefault(ids_a[a], []), (s, Later(ids_b[b]))
+                        heap, entry = heaps.setdefault((at, a), (ids_a[a], []))[1], (s, Later(ids_b[b]))
                         if len(heap) < k:
                             heapq.heappush(heap, entry)
                         elif heap[0] < entry:
                             heapq.heapreplace(heap, entry)
-        for q, heap in heaps.items():
-            yield pa.RecordBatch.from_arrays([pa.array([q] * len(heap)), pa.array([e.id for _, e in heap]), pa.array([s for s, _ in heap])], names=["query_id", "id", "score"])
-
-    found = met.mapInArrow(run, f"query_id {kind}, id {kind}, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        for (at, a), (q, heap) in heaps.items():
+            many = len(heap)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([at] * many, pa.int64()), pa.array([a] * many, pa.int32()), pa.array([q] * many), pa.array([e.id for _, e in heap]), pa.array([s for s, _ in heap]),
+            ], names=["qblock", "qrow", "query_id", "id", "score"])
+
+    found = met.mapInArrow(run, f"qblock long, qrow int, query_id {kind}, id {kind}, score double")
+    best = Window.partitionBy("qblock", "qrow").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
