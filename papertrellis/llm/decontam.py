@@ -44,10 +44,10 @@ class Windows:
 
     vocabulary: dict[bytes, int]
     table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # width: hashes, windows (rows of word numbers), item numbers
-    items: list[str]
+    items: list[str | None]
 
     @classmethod
-    def of(cls, items: list[tuple[str, bytes | None]], window: int = WINDOW) -> Windows:
+    def of(cls, items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> Windows:
         vocabulary: dict[bytes, int] = {}
         per: dict[int, list[tuple[np.ndarray, int]]] = {}
         for number, (_, text) in enumerate(items):
@@ -91,18 +91,22 @@ class Windows:
 
 
 def load(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> Windows:
-    """The windows of a benchmark table, gathered on the driver after its bytes were summed. Null and wordless items have none."""
+    """The windows of a benchmark table, gathered on the driver after its bytes were summed. Null and wordless texts have none.
+
+    Items without an id have windows too; which search counts them is said there.
+    """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
     if size > MOST_BYTES:
         raise ValueError(f"the benchmark has {size} bytes of text; at most {MOST_BYTES} go to every task: search it in parts")
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).where(f"`{item_col}` is not null").collect()
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col).cast("string")).collect()
     return Windows.of([(r[0], r[1].encode() if r[1] is not None else None) for r in rows], window)
 
 
-def scan(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, windows: Windows, text_col: str = "text", unnamed: bool = False) -> DataFrame:
     """All columns of ``docs`` and n_words, n_hit, n_items, items_sha256, contaminated, hits (word ranges, merged, of array<int> pairs).
 
-    Columns of these names are replaced. A null or wordless text has no words and no hits. Every row stays, repeats too.
+    Columns of these names are replaced. A null or wordless text has no words and no hits. Every row stays, repeats too. Items without
+    an id count only where ``unnamed`` is set, and then for n_hit, contaminated and hits, not for n_items and items_sha256.
     """
     sent = docs.sparkSession.sparkContext.broadcast(windows)
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits")
@@ -115,6 +119,7 @@ def scan(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = sent.value
         get = bench.vocabulary.get
+        named = np.array([i is not None for i in bench.items], bool)
         for batch in slices(batches, "__text"):
             ids, size = [], []
             for text in raw(batch.column("__text")):
@@ -125,6 +130,9 @@ def scan(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame
             ids, size = np.array(ids, np.uint64), np.array(size, np.int64)
             first = np.cumsum(size + 1) - size - 1
             start, width, item = bench.search(ids)
+            if not unnamed:
+                some = named[item]
+                start, width, item = start[some], width[some], item[some]
             edge = np.zeros(len(ids) + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + width, -1)
@@ -135,7 +143,8 @@ def scan(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame
             doc_of = np.searchsorted(first, start, "right") - 1
             of = {}
             for d, i in zip(doc_of.tolist(), item.tolist()):
-                of.setdefault(d, set()).add(bench.items[i])
+                if named[i]:
+                    of.setdefault(d, set()).add(bench.items[i])
             names = [sorted(of.get(d, ())) for d in range(len(size))]
             lo, hi = np.searchsorted(turn, first, "left"), np.searchsorted(turn, first + size, "right")
             hits = [(turn[a:b] - f).tolist() if n else [] for a, b, f, n in zip(lo, hi, first, n_hit)]
@@ -176,5 +185,5 @@ def without_spans(docs: DataFrame, windows: Windows, text_col: str = "text") ->
 
 
 def clean_documents(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit."""
-    return scan(docs, windows, text_col).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without a hit, of items without an id neither."""
+    return scan(docs, windows, text_col, unnamed=True).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
