@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, grades, langid, linededup, maxent, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm import decontam, grades, langid, licenses, linededup, maxent, mixing, neighbours, simhash, tokenfile, webtext
 from papertrellis.llm.tables import new_folder, read, written
 
 
@@ -71,12 +71,19 @@ def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext)}
+def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("found")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext, op12_licenses)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TEMPLATES = ", ".join(f"({k}, '{label}', '{text}', {base})" for k, (label, text, base) in enumerate(
+    [(*x, True) for x in licenses.BASE] + [(*x, False) for x in licenses.NOTICES]))
+
 ORACLES: dict[str, str] = {
     "op4_linededup": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -100,4 +107,24 @@ ORACLES: dict[str, str] = {
         SELECT doc.doc_id, len(doc.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
                sha256(coalesce(named.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit ON hit.r = doc.r LEFT JOIN named ON named.r = doc.r""",
+    "op12_licenses": f"""
+        WITH said AS (SELECT t, label, base, string_split(body, ' ') AS w FROM (VALUES {_TEMPLATES}) v(t, label, body, base)),
+        run AS (SELECT t, label, base, len(w) AS size, j - 1 AS j, w[j] AS a, w[j + 1] AS b, w[j + 2] AS c
+                FROM (SELECT *, unnest(range(1, len(w) - 1)) AS j FROM said) s),
+        doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        word AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM doc),
+        vote AS (SELECT r, t, label, base, size, j, i - 1 - j AS d
+                 FROM (SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM word) g JOIN run USING (a, b, c)),
+        diag AS (SELECT r, t, label, base, size, d, list(j) AS js, count(*) = any_value(size) - 2 AS whole FROM vote GROUP BY r, t, label, base, size, d),
+        gap AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, t ORDER BY d) > {licenses.BAND} THEN 1 ELSE 0 END AS cut FROM diag),
+        part AS (SELECT *, sum(cut) OVER (PARTITION BY r, t ORDER BY d) AS g FROM gap),
+        span AS (SELECT r, t, label, base, size, list_distinct(flatten(list(js))) AS js, min(d + list_min(js)) AS lo, max(d + list_max(js)) + 2 AS hi,
+                        count(*) FILTER (whole) AS exact, min(d) FILTER (whole) AS a, max(d) FILTER (whole) AS z FROM part GROUP BY r, t, label, base, size, g),
+        share AS (SELECT *, len(list_distinct(flatten(list_transform(js, lambda x: [x, x + 1, x + 2])))) / size AS share FROM span),
+        fits AS (SELECT *, exact > 0 OR (share >= {licenses.LEAST_SHARE} AND hi - lo + 1 <= {licenses.MOST_LENGTHS} * size) AS fit FROM share),
+        per AS (SELECT r, coalesce(sum(exact) FILTER (base), 0) AS n_base, min(a) FILTER (base) AS first_word, max(z) FILTER (base) AS last_word,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND exact > 0) AS base_labels,
+                       string_agg(DISTINCT label, ',' ORDER BY label) FILTER (fit) AS labels, max(share) AS score FROM fits GROUP BY r)
+        SELECT doc.doc_id, len(doc.w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+               coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM doc LEFT JOIN per ON per.r = doc.r""",
 }
