@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, grades, langid, licenses, linededup, maxent, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm import decontam, grades, langid, licenses, linededup, maxent, merkle, mixing, neighbours, simhash, tokenfile, webtext
 from papertrellis.llm.tables import new_folder, read, written
 
 
@@ -75,7 +75,12 @@ def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext, op12_licenses)}
+def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return merkle.proofs(merkle.build(docs, F.when(_remainder(5) == 0, merkle.lower_ascii(F.col("text")))))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext, op12_licenses, op13_manifest)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -84,6 +89,16 @@ _WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\
 _TEMPLATES = ", ".join(f"({k}, '{label}', '{text}', {base})" for k, (label, text, base) in enumerate(
     [(*x, True) for x in licenses.BASE] + [(*x, False) for x in licenses.NOTICES]))
 
+#: Unsigned crc32 of a short ASCII text, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), CAST(4294967295 AS BIGINT))"""
+
+
+def _told(column: str) -> str:
+    said = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({said}) || ':' || {said}, '-')"
+
+
 ORACLES: dict[str, str] = {
     "op4_linededup": f"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
@@ -127,4 +142,37 @@ ORACLES: dict[str, str] = {
                        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (fit) AS labels, max(share) AS score FROM fits GROUP BY r)
         SELECT doc.doc_id, len(doc.w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
                coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM doc LEFT JOIN per ON per.r = doc.r""",
+    "op13_manifest": f"""
+        WITH RECURSIVE doc AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce('s' || source, 'n') AS tree, sha256({" || ".join(map(_told, merkle.FIELDS))}) AS leaf,
+                   CASE WHEN {_CRC.format("coalesce(CAST(doc_id AS VARCHAR), '')")} % 5 = 0 THEN
+                   sha256({" || ".join(map(_told, merkle.FIELDS[:-1]))} || {_told(_LOWER.format("text"))}) ELSE
+                   sha256({" || ".join(map(_told, merkle.FIELDS))}) END AS said FROM documents),
+        laid AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM doc),
+        low AS (
+            SELECT tree, 0 AS level, pos, leaf AS d FROM laid
+            UNION ALL
+            SELECT tree, level + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) z
+            WHERE n > 1 GROUP BY tree, level, pos // 16),
+        sub AS (SELECT tree, arg_max(d, level) AS d FROM low GROUP BY tree),
+        high AS (
+            SELECT 't' AS tree, 0 AS level, row_number() OVER (ORDER BY tree) - 1 AS pos, d FROM sub
+            UNION ALL
+            SELECT tree, level + 1, pos // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM high) z
+            WHERE n > 1 GROUP BY tree, level, pos // 16),
+        node AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+        run AS (SELECT tree, level, pos, coalesce(string_agg(d, '' ORDER BY pos) OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+                coalesce(string_agg(d, '' ORDER BY pos) OVER (PARTITION BY tree, level, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z,
+                count(*) OVER (PARTITION BY tree, level) > 1 AS more FROM node),
+        place AS (SELECT tree, row_number() OVER (ORDER BY tree) - 1 AS pos FROM sub),
+        up AS (
+            SELECT r, tree, 0 AS level, pos, said AS d, '' AS proof, false AS done FROM laid
+            UNION ALL
+            SELECT up.r, CASE WHEN run.more THEN up.tree ELSE 't' END, CASE WHEN run.more THEN up.level + 1 ELSE 0 END,
+                   CASE WHEN run.more THEN up.pos // 16 ELSE coalesce(place.pos, 0) END, CASE WHEN run.more THEN sha256(run.a || up.d || run.z) ELSE up.d END,
+                   CASE WHEN run.more THEN up.proof || run.a || run.z ELSE up.proof END, NOT run.more AND up.tree = 't'
+            FROM up JOIN run ON run.tree = up.tree AND run.level = up.level AND run.pos = up.pos LEFT JOIN place ON place.tree = up.tree WHERE NOT done),
+        root AS (SELECT arg_max(d, level) AS d FROM high)
+        SELECT laid.doc_id, laid.leaf, sub.d AS subroot, root.d AS root, sha256(up.proof) AS proof_sha256, up.d AS folded_root, up.d = root.d AS verified
+        FROM laid JOIN up ON up.r = laid.r AND up.done JOIN sub ON sub.tree = laid.tree CROSS JOIN root""",
 }
