@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from papertrellis.llm import decontam, grades, langid, licenses, linededup, maxent, merkle, mixing, neighbours, simhash, tokenfile, webtext
+from papertrellis.llm import decontam, grades, langid, licenses, linededup, maxent, merkle, mixing, neighbours, simhash, tokenfile, turntrie, webtext
 from papertrellis.llm.tables import new_folder, read, written
 
 
@@ -71,6 +71,10 @@ def op10_webtext(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op11_turntrie(spark: SparkSession, folder: str) -> DataFrame:
+    return turntrie.nodes(read(spark, folder, "conversations")).drop("key", "parent").withColumnRenamed("saved_chars", "saved_tokens")
+
+
 def op12_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id").drop("found")
 
@@ -80,7 +84,7 @@ def op13_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.proofs(merkle.build(docs, F.when(_remainder(5) == 0, merkle.lower_ascii(F.col("text")))))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext, op12_licenses, op13_manifest)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_maxent, op3_langid, op4_linededup, op5_tokenfile, op6_grades, op7_mixing, op8_decontam, op9_neighbours, op10_webtext, op11_turntrie, op12_licenses, op13_manifest)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -122,6 +126,22 @@ ORACLES: dict[str, str] = {
         SELECT doc.doc_id, len(doc.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
                sha256(coalesce(named.s, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
         FROM doc LEFT JOIN hit ON hit.r = doc.r LEFT JOIN named ON named.r = doc.r""",
+    "op11_turntrie": f"""
+        WITH said AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS body, turn FROM conversations WHERE conv_id IS NOT NULL),
+        conv AS (SELECT c, list({{'role': role, 'body': body}} ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || body)) AS ts,
+                 {_CRC.format("CAST(any_value(c) AS VARCHAR)")} % 6 AS h FROM said GROUP BY c),
+        made AS (SELECT a.c, list_concat(coalesce(b.ts[1:a.h], []), a.ts[a.h + 1:]) AS ts FROM conv a LEFT JOIN conv b ON b.c = a.c - a.c % 100),
+        path AS (SELECT c, len(ts) AS n, d, ts[1:d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM made) z),
+        node AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends,
+                 CASE WHEN d > 0 THEN length(p[d].body) ELSE 0 END AS chars FROM path GROUP BY p, d),
+        kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+        tree AS (SELECT up.p, count(*) FILTER (kids.n IS NULL) AS n_leaves, sum((low.n_convs - 1) * low.chars) AS saved
+                 FROM (SELECT p, d, unnest(range(0, d + 1)) AS k, n_convs, chars FROM node) low JOIN node up ON up.p = low.p[1:low.k]
+                 LEFT JOIN kids ON kids.p = low.p GROUP BY up.p)
+        SELECT node.conv_id, node.d AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children, tree.n_leaves,
+               CAST(tree.saved AS BIGINT) AS saved_tokens, sha256(node.ends) AS ends_sha256
+        FROM node LEFT JOIN kids ON kids.p = node.p JOIN tree ON tree.p = node.p
+        LEFT JOIN node above ON node.d > 0 AND above.p = node.p[1:node.d - 1]""",
     "op12_licenses": f"""
         WITH said AS (SELECT t, label, base, string_split(body, ' ') AS w FROM (VALUES {_TEMPLATES}) v(t, label, body, base)),
         run AS (SELECT t, label, base, len(w) AS size, j - 1 AS j, w[j] AS a, w[j + 1] AS b, w[j + 2] AS c
