@@ -28,6 +28,11 @@ def sql_unit(expr: str) -> str:
     return f"CASE WHEN {value} IS NOT NULL THEN greatest(0e0, least(1e0, {value})) END"
 
 
+def sql_mean(expr: str) -> str:
+    """Mean of values in [0, 1], added as decimals."""
+    return f"CAST(sum(CAST({expr} AS DECIMAL(38,15))) AS DOUBLE) / count({expr})"
+
+
 def corpus(v: Views) -> DataFrame:
     return lexical.corpus_documents(v("lib_paper"), v("lib_academic"))
 
@@ -111,9 +116,9 @@ TEXT = {
         SELECT *, raw / max(raw) OVER (PARTITION BY query_id) AS rrf FROM fusedraw""",
     "pscore": f"""
         SELECT research_paper_id AS pid,
-               avg({sql_unit('paper_authority_score')}) AS pa, avg({sql_unit('academic_authority_score')}) AS aa,
-               avg({sql_unit('citation_influence_score')}) AS ci, avg({sql_unit('author_authority_score')}) AS au,
-               avg({sql_unit('journal_authenticity_score')}) AS ja
+               {sql_mean(sql_unit('paper_authority_score'))} AS pa, {sql_mean(sql_unit('academic_authority_score'))} AS aa,
+               {sql_mean(sql_unit('citation_influence_score'))} AS ci, {sql_mean(sql_unit('author_authority_score'))} AS au,
+               {sql_mean(sql_unit('journal_authenticity_score'))} AS ja
         FROM lib_score GROUP BY research_paper_id""",
     "prof": """
         SELECT * FROM (VALUES ('GENERAL', 0.65e0, 0.2e0, 0.07e0, 0.03e0, 0.05e0, 0.75e0, 8e0),
@@ -509,11 +514,11 @@ def _(v):
 
 
 @check("score_by_paper", f"""
-    SELECT research_paper_id AS paper_id, round(avg({sql_unit('paper_authority_score')}), 6) AS paper_authority_score,
-           round(avg({sql_unit('academic_authority_score')}), 6) AS academic_authority_score,
-           round(avg({sql_unit('citation_influence_score')}), 6) AS citation_influence_score,
-           round(avg({sql_unit('author_authority_score')}), 6) AS author_authority_score,
-           round(avg({sql_unit('journal_authenticity_score')}), 6) AS journal_authenticity_score, count(*) AS score_rows
+    SELECT research_paper_id AS paper_id, round({sql_mean(sql_unit('paper_authority_score'))}, 6) AS paper_authority_score,
+           round({sql_mean(sql_unit('academic_authority_score'))}, 6) AS academic_authority_score,
+           round({sql_mean(sql_unit('citation_influence_score'))}, 6) AS citation_influence_score,
+           round({sql_mean(sql_unit('author_authority_score'))}, 6) AS author_authority_score,
+           round({sql_mean(sql_unit('journal_authenticity_score'))}, 6) AS journal_authenticity_score, count(*) AS score_rows
     FROM score GROUP BY research_paper_id""")
 def _(v):
     return scores.score_by_paper(v("score")).select(
@@ -521,7 +526,7 @@ def _(v):
 
 
 @check("score_by_academic", f"""
-    SELECT academic_id, round(avg(x), 6) AS academic_authority_score FROM (
+    SELECT academic_id, round({sql_mean('x')}, 6) AS academic_authority_score FROM (
         SELECT {sql_unit('academic_authority_score')} AS x, unnest(academic_ids) AS academic_id FROM score) z
     WHERE x IS NOT NULL GROUP BY academic_id""")
 def _(v):
@@ -530,9 +535,9 @@ def _(v):
 
 
 @check("paper_entity", f"""
-    WITH ps AS (SELECT research_paper_id AS pid, avg({sql_unit('paper_authority_score')}) AS pa,
-                       avg({sql_unit('journal_authenticity_score')}) AS ja,
-                       avg({sql_unit('citation_influence_score')}) AS ci FROM score GROUP BY 1)
+    WITH ps AS (SELECT research_paper_id AS pid, {sql_mean(sql_unit('paper_authority_score'))} AS pa,
+                       {sql_mean(sql_unit('journal_authenticity_score'))} AS ja,
+                       {sql_mean(sql_unit('citation_influence_score'))} AS ci FROM score GROUP BY 1)
     SELECT 'research_paper:' || p.id AS entity_id, p.name AS label, p.publication_date,
            round(ci, 6) AS citation_score, round(pa, 6) AS paper_authority_score, pa IS NOT NULL AS pa_ok,
            round(ja, 6) AS journal_score, ja IS NOT NULL AS ja_ok,
@@ -548,7 +553,7 @@ def _(v):
 
 
 @check("academic_entity", f"""
-    WITH au AS (SELECT academic_id, avg(x) AS s FROM (
+    WITH au AS (SELECT academic_id, {sql_mean('x')} AS s FROM (
         SELECT {sql_unit('academic_authority_score')} AS x, unnest(academic_ids) AS academic_id FROM score) z
         WHERE x IS NOT NULL GROUP BY academic_id)
     SELECT 'academic:' || a.id AS entity_id, a.name AS label, round(s, 6) AS academic_authority_score,

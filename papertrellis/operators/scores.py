@@ -35,12 +35,17 @@ def namespaced(table: str, c: Column | str) -> Column:
     return F.concat(F.lit(f"{table}:"), c.cast("string"))
 
 
+def steady_mean(value: Column) -> Column:
+    """Mean of values in [0, 1] by an exact sum of 15 decimals, the same in whatever order and however many tasks they are added."""
+    return F.sum(value.cast("decimal(20,15)")).cast("double") / F.count(value)
+
+
 def score_by_paper(scores: DataFrame) -> DataFrame:
     """Per paper the mean of each valid clamped score."""
     return (
         scores.where(F.col("research_paper_id").isNotNull())
         .groupBy(F.col("research_paper_id").cast("string").alias("paper_id"))
-        .agg(*[F.avg(clamp_score(F.col(f))).alias(f) for f in SCORE_FIELDS], F.count(F.lit(1)).alias("score_rows"))
+        .agg(*[steady_mean(clamp_score(F.col(f))).alias(f) for f in SCORE_FIELDS], F.count(F.lit(1)).alias("score_rows"))
     )
 
 
@@ -56,7 +61,7 @@ def score_by_academic(scores: DataFrame, wanted: DataFrame | None = None) -> Dat
     )
     if wanted is not None:
         listed = listed.join(wanted, F.col("academic_id") == F.col(wanted.columns[0]), "left_semi")
-    return listed.groupBy("academic_id").agg(F.avg("v").alias("academic_authority_score"))
+    return listed.groupBy("academic_id").agg(steady_mean(F.col("v")).alias("academic_authority_score"))
 
 
 def distinct_urls(*urls: Column) -> Column:
