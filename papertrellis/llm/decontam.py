@@ -60,7 +60,7 @@ class Windows:
             rows = np.concatenate([r for r, _ in found])
             item = np.repeat([n for _, n in found], [len(r) for r, _ in found])
             rows, item = (lambda both: (both[:, :width], both[:, width].astype(np.int64)))(np.unique(np.column_stack([rows, item.astype(np.uint64)]), axis=0))
-            h = np.array([_hashes(r, width)[0] for r in rows], np.uint64)
+            h = _hashes(rows.ravel(), width)[::width]
             order = np.argsort(h, kind="stable")
             table[width] = (h[order], np.ascontiguousarray(rows[order]), item[order])
         return cls(vocabulary, table, [i for i, _ in items])
@@ -156,16 +156,22 @@ def scan(docs: DataFrame, windows: Windows, text_col: str = "text", unnamed: boo
     return docs.mapInArrow(run, schema)
 
 
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """Whole rows kept apart from the text, so that no column of theirs meets one of ours."""
+    return docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
 def without_spans(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame:
-    """``docs`` with the hit words cut from the texts: each range of hit words goes from its first to its last letter, other bytes stay."""
-    marked = scan(docs, windows, text_col)
-    columns = docs.columns
-    at = columns.index(text_col)
+    """``docs`` with the hit words cut from the texts: each range of hit words goes from its first to its last letter, other bytes stay.
+
+    Null and empty texts stay as they are; every row stays, with all its other columns.
+    """
+    marked = scan(_rows(docs, text_col), windows).select("row", "text", "hits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches):
             out = []
-            for text, hits in zip(raw(batch.column(text_col)), batch.column("hits").to_pylist()):
+            for text, hits in zip(raw(batch.column("text")), batch.column("hits").to_pylist()):
                 if hits:
                     flat = text.lower().translate(_GAPS)
                     letter = np.frombuffer(flat, np.uint8) != 0x20
@@ -177,13 +183,15 @@ def without_spans(docs: DataFrame, windows: Windows, text_col: str = "text") ->
                         last = end[b - 1]
                     text = b"".join([*keep, text[last:]])
                 out.append(text)
-            cols = [batch.column(k) for k in range(len(columns))]
-            cols[at] = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary()).cast(pa.string())], names=["row", "text"])
 
-    return marked.select(*[F.col(f"`{c}`") for c in columns], "hits").mapInArrow(cut, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    done = marked.mapInArrow(cut, marked.drop("hits").schema)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def clean_documents(docs: DataFrame, windows: Windows, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit, of items without an id neither."""
-    return scan(docs, windows, text_col, unnamed=True).where("not contaminated").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without a hit, of items without an id neither, with their own columns and values.
+
+    Null, empty and wordless texts have no hit and stay, as do repeated rows; without a benchmark all rows stay.
+    """
+    return scan(_rows(docs, text_col), windows, unnamed=True).where("not contaminated").select("row.*")

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from papertrellis.llm import decontam, langid, mixing, simhash
+from papertrellis.llm import decontam, langid, mixing
 
 from .test_corpus import BENCH, COLUMNS, corpus
+from .test_jaccard import plain_keep
 
 
 @pytest.fixture(scope="module")
@@ -45,9 +46,18 @@ def test_language_stage_keeps_texts_with_letters(spark, folder):
 def test_near_dedup_keeps_one_of_each_group(spark, folder):
     docs = read(spark, folder)
     kept = corpus_pipeline.near_dedup(spark, docs, folder).collect()
-    groups = {r["component_id"] for r in simhash.near_duplicates(docs).where("id is not null").collect()}
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(groups)
-    assert sum(r["doc_id"] is None for r in kept) == 1
+    want = plain_keep([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert sorted((r["doc_id"] for r in kept), key=lambda i: (i is not None, i or 0)) == want
+
+
+def test_decontamination_keeps_own_columns(spark, folder):
+    docs = read(spark, folder).withColumn("n_words", F.lit(8)).withColumn("hits", F.lit("own")).withColumn("contaminated", F.col("doc_id"))
+    kept = corpus_pipeline.decontaminate(spark, docs, folder)
+    assert kept.dtypes == docs.dtypes
+    plain = decontam.scan(read(spark, folder), decontam.load(spark.read.parquet(f"{folder}/benchmark.parquet")), unnamed=True).collect()
+    left = sorted(((r["doc_id"], r["text"]) for r in plain if not r["contaminated"]), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == left and 0 < len(left) < docs.count()
+    assert kept.where("n_words <> 8 or hits <> 'own' or contaminated is distinct from doc_id").count() == 0
 
 
 def test_run_is_the_stages_in_turn(spark, folder):
