@@ -18,6 +18,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -25,7 +26,7 @@ from tokenizers import Tokenizer
 
 from papertrellis.llm.tables import slices
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END = 0
 MAGIC = b"HUF1"
 #: Longest code in bits; the decoding table has 2 to this power entries. It rises with alphabets of over half as many ids.
@@ -33,8 +34,10 @@ LIMIT = 16
 STRIDE = 256
 #: Ids in a block; a longer document is a block of its own.
 BLOCK = 1 << 18
-#: Different chunks of text whose ids a task remembers.
-REMEMBER = 500_000
+#: Different chunks of text whose ids a worker remembers, and the characters and ids that they may have in sum; beyond either, chunks
+#: that were met once since the last time are forgotten.
+REMEMBER = 700_000
+REMEMBER_SIZE = 32 << 20
 
 
 # The pattern and the byte alphabet of the public byte-level vocabulary.
@@ -60,14 +63,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
         self.plain = kind["pre_tokenizer"] == BYTE_LEVEL and not kind["normalizer"] and kind["model"]["type"] == "BPE" and all(t["special"] and "<|" in t["content"] for t in kind["added_tokens"])
-        self._clear()
-
-    def _clear(self) -> None:
         # a key is a chunk without its leading space; the first chunk of a text, which has none, is marked by one
         self.number: dict[str, int] = defaultdict(itertools.count().__next__)
-        self.known = 0
+        self.known = self.chars = 0
         self.ids, self.held = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.first, self.size, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        """Keep the chunks that were met again, the half that were met most often if they are too many."""
+        met = self.met[: self.known]
+        least = 2
+        while np.count_nonzero(met >= least) > REMEMBER // 2 or self.size[: self.known][met >= least].sum() > REMEMBER_SIZE // 2:
+            least *= 2
+        keep = np.flatnonzero(met >= least)
+        keys = list(self.number)
+        keys = [keys[k] for k in keep.tolist()]
+        self.chars = sum(map(len, keys))
+        if self.chars > REMEMBER_SIZE // 2:
+            keep, keys, self.chars = keep[:0], [], 0
+        size, first = self.size[keep], self.first[keep]
+        end = np.cumsum(size)
+        self.held, self.known = int(size.sum()), len(keep)
+        ids = self.ids[np.arange(self.held) + np.repeat(first - end + size, size)]
+        self.ids = np.concatenate([ids, np.zeros(1 << 16, np.uint32)])
+        self.first, self.size, self.met = (np.concatenate([x, np.zeros(1 << 14, np.int64)]) for x in (end - size, size, met[keep] // 2))
+        self.number = defaultdict(itertools.count(len(keep)).__next__, zip(keys, range(len(keep))))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -87,7 +107,7 @@ class Encoder:
         while self.held + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(ids) > len(self.size):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
         self.ids[self.held:self.held + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
         self.first[n:n + len(ids)], self.size[n:n + len(ids)] = self.held + np.cumsum(size) - size, size
         self.held, self.known = self.held + total, n + len(ids)
@@ -96,8 +116,8 @@ class Encoder:
         """Ids of each text, without an end id; a null text has none."""
         if not self.plain:
             return [np.array(x, np.uint32) for x in self._whole([t or "" for t in texts])]
-        if len(self.number) > REMEMBER:
-            self._clear()
+        if len(self.number) > REMEMBER or self.held + self.chars > REMEMBER_SIZE:
+            self._forget()
         places = []
         for text in texts:
             if not text or self._ODD.search(text):
@@ -108,7 +128,11 @@ class Encoder:
             places.append(np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)))
         if len(self.number) > self.known:
             new = list(itertools.islice(reversed(self.number), len(self.number) - self.known))[::-1]
+            self.chars += sum(map(len, new))
             self._learn([k[1:] if k[:1] == " " else " " + k for k in new])
+        for at in places:
+            if at is not None:
+                self.met[at] += 1
         out = []
         for text, at in zip(texts, places):
             if at is None:
