@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +11,7 @@ from papertrellis.functions.ids import uuid_v5
 from papertrellis.functions.relations import dense_ids
 from papertrellis.operators import clean, normalise, quality, resolve, scope
 from papertrellis.schemas import READABLE, project_table
-from papertrellis.session import cut_lineage, shared_folder
+from papertrellis.session import cut_lineage, new_folder
 from papertrellis.sources import sinks, tables
 
 # --- normalisation ---
@@ -177,7 +176,7 @@ def _(v):
         SELECT academic_no, min(paper_no) AS first_paper FROM authorship GROUP BY academic_no) z""")
 def _(v):
     first = v("authorship").groupBy("academic_no").agg(F.min("paper_no").alias("first_paper"))
-    return dense_ids(first, ["first_paper", "academic_no"], "id", width=100).select("academic_no", "id")
+    return dense_ids(first, ["first_paper", "academic_no"], "id", ranges=7).select("academic_no", "id")
 
 
 # --- scope ---
@@ -702,8 +701,7 @@ def _(v):
 
 
 def scratch(v: Views, name: str) -> str:
-    """A new folder in the shared folder, or else in the session's warehouse."""
-    return f"{shared_folder(v.spark) or v.spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    return new_folder(v.spark, name)
 
 
 @check("json_table", "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")

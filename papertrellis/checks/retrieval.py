@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from papertrellis.checks.registry import check, joined, rounded
 from papertrellis.checks.views import Views
 from papertrellis.functions.text import CASE_FOLDS, tokens
-from papertrellis.operators import fusion, lexical, ranking, scores
-from papertrellis.session import cut_lineage
+from papertrellis.operators import fusion, inverted, lexical, ranking, scores
+from papertrellis.session import cut_lineage, new_folder
 
 
 def sql_fold(expr: str) -> str:
@@ -316,6 +316,72 @@ def _(v):
     )
 
 
+# --- the stored corpus ---
+
+
+def stored(v: Views, *parts: str) -> inverted.Store:
+    return inverted.write_store(corpus(v), new_folder(v.spark, "corpus"), parts=parts)
+
+
+@check("stored_bm25", "SELECT query_id, entity_id, rk AS rank, round(sc, 6) AS raw_score FROM lexhits", **TEXT)
+def _(v):
+    q = planned(v)
+    return lexical.top_seeds(stored(v, "postings").best(q), q).select(
+        "query_id", "entity_id", F.col("rank").cast("long").alias("rank"), rounded("raw_score").alias("raw_score")
+    )
+
+
+@check("stored_bm25_filtered", """
+    SELECT query_id, entity_id, rk AS rank, round(sc, 6) AS raw_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, entity_id) AS rk FROM ebm) z WHERE rk <= 10""", **FILTERED)
+def _(v):
+    q, store = filtered_queries(v), stored(v, "postings", "bitmaps")
+    eligible = store.eligible(q, lexical.resolve_filter_ids(q, {t: v(t) for t in LOOKUPS}))
+    return lexical.top_seeds(store.best_filtered(q, eligible), q).select(
+        "query_id", "entity_id", F.col("rank").cast("long").alias("rank"), rounded("raw_score").alias("raw_score")
+    )
+
+
+@check("eligible_documents", "SELECT query_id, entity_id FROM elig", **FILTERED)
+def _(v):
+    q, store = filtered_queries(v), stored(v, "bitmaps")
+    members = store.members(store.eligible(q, lexical.resolve_filter_ids(q, {t: v(t) for t in LOOKUPS})))
+    return lexical.scope_key(q).select("query_id", "scope_id").join(members, "scope_id").drop("scope_id")
+
+
+@check("scope_stats", "SELECT query_id, n AS n_docs, round(avgdl, 6) AS avgdl FROM estat", **FILTERED)
+def _(v):
+    q, store = filtered_queries(v), stored(v, "bitmaps")
+    stats = store.scope_stats(store.eligible(q, lexical.resolve_filter_ids(q, {t: v(t) for t in LOOKUPS})))
+    return lexical.scope_key(q).select("query_id", "scope_id").join(stats, "scope_id").select(
+        "query_id", F.col("n").alias("n_docs"), rounded("avgdl").alias("avgdl"))
+
+
+@check("terms_containing", """
+    SELECT DISTINCT w.word, d.term FROM (
+        SELECT DISTINCT substring(string_split(p_name, ' ')[-1], 2) AS word FROM part WHERE p_name IS NOT NULL
+        UNION SELECT n_regionkey || '' FROM nation UNION SELECT lower(left(n_name, 1)) FROM nation UNION SELECT lower(left(n_name, 2)) FROM nation) w
+    JOIN dfs d ON contains(d.term, w.word) WHERE w.word <> ''""", **TEXT)
+def _(v):
+    nation = v("nation")
+    words = v("part").where("p_name IS NOT NULL").select(F.expr("substring(substring_index(p_name, ' ', -1), 2)").alias("word"))
+    for piece in (F.col("n_regionkey").cast("string"), F.lower(F.substring("n_name", 1, 1)), F.lower(F.substring("n_name", 1, 2))):
+        words = words.unionByName(nation.select(piece.alias("word")))
+    return stored(v, "suffixes").terms_containing(words)
+
+
+@check("stored_substring", f"""
+    WITH sq AS (
+        SELECT DISTINCT 's' || string_split(p_name, ' ')[-1] AS query_id,
+               substring(string_split(p_name, ' ')[-1], 2) AS needle FROM part WHERE p_name IS NOT NULL
+        UNION SELECT 'z' || lang, CASE lang WHEN 'en' THEN ',' WHEN 'fr' THEN 'é' ELSE ',' END FROM documents)
+    SELECT sq.query_id, c.entity_id FROM sq JOIN corp c
+    ON contains({sql_fold('c.txt')}, trim({sql_fold('sq.needle')})) JOIN toks t ON t.entity_id = c.entity_id
+    WHERE NOT list_has_any(t.tk, {sql_tokens('sq.needle')})""", **TEXT)
+def _(v):
+    return stored(v, "postings", "suffixes").containing(short_queries(v), corpus(v))
+
+
 def dense_hits(v: Views) -> DataFrame:
     vectors = v("embeddings")
     q = v("lib_query").join(vectors, F.col("item_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vector"))

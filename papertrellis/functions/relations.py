@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Rows per bucket in the two-level numbering below.
-BUCKET_ROWS = 1 << 20
+from papertrellis.session import cut_lineage
 
 
 def explode_ids(df: DataFrame, array: str, member: str, pos: str = "pos", keep: list[str] | None = None) -> DataFrame:
@@ -57,27 +56,24 @@ def distinct_ci(items: Column) -> Column:
     return F.filter(cleaned, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 
 
-def dense_ids(df: DataFrame, order: list[str], out: str, width: int = BUCKET_ROWS) -> DataFrame:
-    """0-based dense numbering in the order of ``order``; its first column must be a whole number.
+def dense_ids(df: DataFrame, order: list[str | Column], out: str, ranges: int | None = None) -> DataFrame:
+    """0-based dense numbering in the order of ``order``, whatever its columns are and however their values are spread.
 
-    Two levels: rows fall into ranges of the leading column, the ranges get
-    running offsets from their counts (one small row per range), and each range
-    numbers its own rows. The offsets depend on values only, never on task
-    placement, so a lost executor cannot change an id.
+    Two levels: rows are dealt by sampled splits into ranges of about equal size, sorted and kept; the counts of the ranges (one number
+    for each of at most ``ranges``) give their offsets, and each row adds its place in its range. Rows alike in all of ``order`` are
+    dealt by a hash of their values, so that not one key fills a range; which of them comes first is left open.
     """
-    bucketed = df.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)).cast("long"))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"),
-    )
-    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return (
-        bucketed.withColumn("_rn", within)
-        .join(offsets, "_bucket")
-        .withColumn(out, (F.col("_offset") + F.col("_rn") - 1).cast("long"))
-        .drop("_bucket", "_rn", "_offset")
-    )
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    many = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    laid = salted.repartitionByRange(many, *keys, "_salt").sortWithinPartitions(*keys, "_salt").withColumn("_range", F.spark_partition_id())
+    laid = cut_lineage(laid.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_salt"))
+    found = {r[0]: r[1] for r in laid.groupBy("_range").agg(F.count(F.lit(1))).collect()}
+    offsets = [0]
+    for k in range(max(found, default=0)):
+        offsets.append(offsets[-1] + found.get(k, 0))
+    start = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), F.col("_range"))
+    return laid.withColumn(out, (start + F.col("_place")).cast("long")).drop("_range", "_place")
 
 
 def cumulative_histogram(df: DataFrame, value: str, keys: list[str] | None = None, buckets: int = 4096) -> DataFrame:

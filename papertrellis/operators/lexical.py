@@ -389,6 +389,48 @@ def terms_containing(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return keyed.join(asked, "key").where(F.col("term").contains(F.col("word"))).select("word", "term")
 
 
+def short_needles(queries: DataFrame) -> DataFrame:
+    """(query_id, target_kinds, needle, toks): the queries of two tokens at most, which alone can stand in a text that BM25 leaves unscored."""
+    return queries.where(strip(F.col("text")) != "*").select(
+        "query_id", "target_kinds", strip(fold(F.col("text"))).alias("needle"), tokens(F.col("text")).alias("toks")
+    ).where((F.col("needle") != "") & (F.size("toks") <= 2))
+
+
+def longest_token(toks: Column) -> Column:
+    return F.array_max(F.transform(toks, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+
+
+def sign_candidates(short: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, entity_id): texts that hold the first character of a needle without tokens."""
+    wordless = short.where(F.size("toks") == 0).withColumn("key", F.substring("needle", 1, 1))
+    if wordless.isEmpty():
+        return wordless.select("query_id", F.col("key").alias("entity_id"))
+    return (
+        docs.select("entity_id", F.explode(F.array_distinct(F.split(fold(F.col("text")), ""))).alias("key"))
+        .join(_hint(wordless.select("query_id", "key"), is_small(short)), "key")
+        .select("query_id", "entity_id")
+    )
+
+
+def holding(candidates: DataFrame, short: DataFrame, docs: DataFrame, unscored: bool = False) -> DataFrame:
+    """The candidates whose text holds the needle, of the query's kinds; with ``unscored`` only those that share no token with the query.
+
+    Candidates travel to the texts while they are few; texts of others never move.
+    """
+    small = is_small(short)
+    asked = cut_lineage(candidates.join(_hint(short.select("query_id", "needle", "target_kinds", "toks"), small), "query_id"))
+    few = is_small(asked)
+    texts = docs.select("entity_id", "kind", "text")
+    if not few:
+        texts = texts.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
+    found = texts.join(_hint(asked, few), "entity_id").where(
+        fold(F.col("text")).contains(F.col("needle")) & F.array_contains("target_kinds", F.col("kind"))
+    )
+    if unscored:
+        found = found.where(~F.arrays_overlap(tokens(F.col("text")), F.col("toks")))
+    return found.select("query_id", "entity_id")
+
+
 def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, entity_id) where the folded query text occurs inside the folded document text.
 
@@ -398,44 +440,20 @@ def substring_fallback(queries: DataFrame, docs: DataFrame, index: DataFrame) ->
 
     No document is compared with every query. A query with a token is matched
     against the vocabulary through shared three-letter keys, then through
-    postings; a query without one through its first character.
+    postings; a query without one through its first character. A stored corpus
+    (inverted.Store) looks pieces up as ranges of sorted suffixes instead.
     """
-    q = queries.where(strip(F.col("text")) != "*").select(
-        "query_id", "target_kinds", strip(fold(F.col("text"))).alias("needle"), tokens(F.col("text")).alias("toks")
-    ).where((F.col("needle") != "") & (F.size("toks") <= 2))
-    longest = F.array_max(F.transform("toks", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    worded = q.where(F.size("toks") > 0).withColumn("piece", longest).withColumn("key", F.substring("piece", 1, 3))
-    vocabulary = postings(index).select("term").distinct()
-
-    keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
+    q = short_needles(queries)
     if q.isEmpty():
         return q.select("query_id").join(docs.select("entity_id").limit(0), F.lit(True))
-    small = is_small(q)
-    found_terms = keyed.join(_hint(worded, small), "key").where(F.col("term").contains(F.col("piece")))
+    worded = q.where(F.size("toks") > 0).withColumn("piece", longest_token(F.col("toks"))).withColumn("key", F.substring("piece", 1, 3))
+    vocabulary = postings(index).select("term").distinct()
+    keyed = vocabulary.select("term", F.explode(grams(F.col("term"))).alias("key"))
+    found_terms = keyed.join(_hint(worded, is_small(q)), "key").where(F.col("term").contains(F.col("piece")))
     by_term = (
         postings(index).join(found_terms.select("term", "query_id"), "term").select("query_id", "entity_id").distinct()
     )
-    wordless = q.where(F.size("toks") == 0).withColumn("key", F.substring("needle", 1, 1))
-    candidates = by_term
-    if not wordless.isEmpty():
-        by_char = (
-            docs.select("entity_id", F.explode(F.array_distinct(F.split(fold(F.col("text")), ""))).alias("key"))
-            .join(_hint(wordless.select("query_id", "key"), small), "key")
-            .select("query_id", "entity_id")
-        )
-        candidates = by_term.unionByName(by_char)
-    # the candidates travel to the texts while they are few; texts of others never move
-    asked = candidates.join(_hint(q.select("query_id", "needle", "target_kinds"), small), "query_id")
-    asked = cut_lineage(asked)
-    few = is_small(asked)
-    texts = docs.select("entity_id", "kind", "text")
-    if not few:
-        texts = texts.join(asked.select("entity_id").distinct(), "entity_id", "left_semi")
-    return (
-        texts.join(_hint(asked, few), "entity_id")
-        .where(fold(F.col("text")).contains(F.col("needle")) & F.array_contains("target_kinds", F.col("kind")))
-        .select("query_id", "entity_id")
-    )
+    return holding(by_term.unionByName(sign_candidates(q, docs)), q, docs)
 
 
 def match_all(queries: DataFrame, docs: DataFrame, eligible: DataFrame | None = None) -> DataFrame:

@@ -6,16 +6,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from papertrellis.operators import fusion, graph, lexical, ranking, scores
+from papertrellis.operators import fusion, graph, inverted, lexical, ranking, scores
 from papertrellis.session import cut_lineage
 
 
 @dataclass
 class Corpus:
-    """The readable tables; ``dense`` holds hits of an optional second channel."""
+    """The readable tables; ``dense`` holds hits of an optional second channel.
+
+    ``store`` is the corpus as inverted.write_store laid it out: a batch then reads only what its terms, filters and pieces fall into.
+    ``index`` is a forward index, read in full by every batch; without either, the texts are tokenised for each batch.
+    """
 
     tables: dict[str, DataFrame]
     index: DataFrame | None = None
+    store: inverted.Store | None = None
     dense: DataFrame | None = None
     profiles: DataFrame | None = None
 
@@ -57,7 +62,10 @@ class Result:
 
 def fuse(corpus: Corpus, queries: DataFrame, *, with_filters: bool = False) -> DataFrame:
     lookups = {t: d for t, d in corpus.tables.items() if t in ("university", "faculty", "discipline", "field")}
-    hits = lexical.retrieve(queries, corpus.documents(), corpus.index, lookups, with_filters=with_filters)
+    if corpus.store is not None:
+        hits = inverted.retrieve(queries, corpus.documents(), corpus.store, lookups, with_filters=with_filters)
+    else:
+        hits = lexical.retrieve(queries, corpus.documents(), corpus.index, lookups, with_filters=with_filters)
     if corpus.dense is not None:
         hits = hits.unionByName(corpus.dense)
     return cut_lineage(fusion.rrf(hits))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +20,17 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder. A local session, which is one machine, may name none; its folder is then under /tmp."""
+    folder = shared_folder(spark)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute once for later passes: in the shared folder, or on the executors' disks where none is named.
 
