@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from papertrellis.checks.graph import library
+from papertrellis.checks.graph import adjacency, library, walked
 from papertrellis.checks.registry import check, joined, rounded
-from papertrellis.checks.retrieval import SPREAD, planned, spread_candidates, sql_fold
+from papertrellis.checks.retrieval import SPREAD, TEXT, planned, spread_candidates, sql_fold
 from papertrellis.checks.views import Views
 from papertrellis.functions import urls
 from papertrellis.operators import apps, evidence, graph, lexical, ranking
@@ -473,12 +473,79 @@ def _(v):
     return searched(v).truncated
 
 
+# Every question's best hit alone is the seed; the graph has its default budgets.
+ONE_SEED = {
+    **TEXT, **walked("SELECT query_id AS q, entity_id AS nid FROM lexhits WHERE rk = 1"),
+    "cand": """
+        SELECT q AS query_id, nid AS entity_id, CASE WHEN nid LIKE 'academic:%' THEN 'researcher' ELSE 'publication' END AS kind,
+               CASE WHEN len(path) = 0 THEN 1e0 ELSE 0e0 END AS retr, CASE WHEN len(path) > 0 THEN rel ELSE 0e0 END AS gr,
+               array_to_string(path, '|') AS edges
+        FROM gpath WHERE nid LIKE 'academic:%' OR nid LIKE 'research_paper:%'""",
+    "comp1": """
+        SELECT c.*, coalesce(s.ci, 0e0) AS cit, coalesce(s.pa, 0e0) AS pa, coalesce(kind = 'publication' AND s.ja < 0.5, false) AS gated,
+               CASE WHEN p.publication_date IS NULL THEN 0e0 ELSE
+                   power(0.5e0, greatest(0, date_diff('day', p.publication_date, q.as_of)) / 365.25e0 / r.hl) END AS rec, r.*
+        FROM cand c JOIN qplan q ON q.query_id = c.query_id JOIN prof r ON r.pname = q.pname
+        LEFT JOIN lib_paper p ON 'research_paper:' || p.id = c.entity_id
+        LEFT JOIN pscore s ON 'research_paper:' || s.pid = c.entity_id""",
+    "fin1": """
+        SELECT *, CASE WHEN gated THEN 0e0
+                       WHEN kind = 'publication' THEN round(wr * retr + wg * gr + wc * cit + wt * rec + wa * pa, 12)
+                       ELSE round(rr * retr + (1 - rr) * gr, 12) END AS fin FROM comp1""",
+}
+
+
+def searched_from_one(v: Views) -> search.Result:
+    tables = library(v)
+    return search.retrieve_and_rank(search.Corpus(tables, index=indexed_papers(v), adjacency=adjacency(v)), planned(v, limit=10, seed_limit=1))
+
+
+@check("retrieve_and_rank_default", """
+    SELECT query_id, rank, entity_id, NOT gated AS eligible, round(fin, 6) AS final_score, edges AS path_edge_ids FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT gated DESC, fin DESC, entity_id) AS rank FROM fin1) z
+    WHERE rank <= 10""", **ONE_SEED)
+def _(v):
+    return searched_from_one(v).ranked.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "entity_id", "eligible", rounded("final_score").alias("final_score"),
+        joined("path_edge_ids").alias("path_edge_ids"))
+
+
+@check("merge_candidates_default", """
+    SELECT query_id, entity_id, round(retr, 6) AS retrieval_score, round(gr, 6) AS graph_score, edges AS path_edge_ids,
+           round(cit, 6) AS citation FROM fin1""", **ONE_SEED)
+def _(v):
+    r = searched_from_one(v)
+    entities = search.Corpus(library(v)).entities(search.candidate_ids(r.fused, r.paths))
+    return graph.merge_candidates(r.fused, r.paths, entities, planned(v, seed_limit=1)).select(
+        "query_id", "entity_id", rounded("retrieval_score").alias("retrieval_score"), rounded("graph_score").alias("graph_score"),
+        joined("path_edge_ids").alias("path_edge_ids"), F.coalesce(rounded("citation_score"), F.lit(0.0)).alias("citation"))
+
+
 @check("search_publications")
 def _(v):
     found = publications.search_publications(search.Corpus(library(v), index=indexed_papers(v)), v("lib_query").select("query_id", "text", "as_of"))
     return found.drop("N_innovation")
 
 
+@check("search_publications_default", """
+    SELECT f.query_id, f.rank, p.id, p.name AS title, CAST(year(p.publication_date) AS VARCHAR) AS year, p.doi,
+           coalesce(p.open_access_url, p.primary_url, 'https://doi.org/' || p.doi) AS url, round(fin, 6) AS final_score,
+           round(retr, 6) AS "H_hybrid_relevance", CASE WHEN s.pa IS NOT NULL THEN round(s.pa, 6) END AS "Q_quality",
+           CASE WHEN s.ci IS NOT NULL THEN round(s.ci, 6) END AS "I_citation_influence", round(round(rec, 12), 6) AS "T_temporal_validity",
+           CASE WHEN s.au IS NOT NULL THEN round(s.au, 6) END AS "A_author_authority", round(round(gr, 12), 6) AS "G_graph_enrichment",
+           s.pa IS NOT NULL AS has_quality, s.ci IS NOT NULL AS has_influence, s.au IS NOT NULL AS has_authority, true AS truncated
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY NOT gated DESC, fin DESC, entity_id) AS rank FROM fin1
+          WHERE kind = 'publication') f
+    JOIN lib_paper p ON 'research_paper:' || p.id = f.entity_id LEFT JOIN pscore s ON 'research_paper:' || s.pid = f.entity_id
+    WHERE rank <= 10""", **{**ONE_SEED, "corp": """
+        SELECT 'research_paper:' || id AS entity_id, 'publication' AS kind,
+               concat_ws(' ', name, array_to_string(keywords, ' '), doi, publication_type) AS txt FROM lib_paper"""})
+def _(v):
+    corpus = search.Corpus(library(v), index=indexed_papers(v), adjacency=adjacency(v))
+    found = publications.search_publications(corpus, v("lib_query").select("query_id", "text", "as_of"), seed_limit=1)
+    return found.drop("N_innovation").withColumn("rank", F.col("rank").cast("long"))
+
+
 def hydrated(v: Views) -> profiles.Profiles:
     ids = v("lib_academic").select(F.concat(F.lit("a"), "id").alias("query_id"), "id")
     return profiles.academic_profiles(search.Corpus(library(v)), ids, v("evidence"))

@@ -8,6 +8,7 @@ from papertrellis.checks.registry import check, joined, rounded
 from papertrellis.checks.views import Views
 from papertrellis.operators import graph
 from papertrellis.operators.scores import METADATA_TABLES, namespaced
+from papertrellis.session import new_folder
 
 EDGE_SQL = {
     "rawedge": """
@@ -110,21 +111,116 @@ def _(v):
     return near.truncated.select("query_id")
 
 
-def expanded(v: Views) -> DataFrame:
-    near = graph.neighbourhood(one_seed_each(v), library(v))
-    seeds = one_seed_each(v).select(
+def walked(seeds: str) -> dict[str, str]:
+    """Neighbourhood and paths at the default budgets (2 hops, 50 entities, 100 relations, 20 neighbours) of queries with one seed each.
+
+    With one seed of score 1 and edges of one confidence the strongest path is the shortest: a walk takes the seed's neighbours, then
+    those of its neighbours in the order of their ids, until 50 entities are reached.
+    """
+    return {
+        **LIB,
+        "gseed": seeds,
+        "present": """
+            SELECT 'research_paper:' || id AS nid FROM lib_paper UNION SELECT 'academic:' || id FROM lib_academic
+            UNION SELECT 'university:' || id FROM university WHERE name <> '' UNION SELECT 'faculty:' || id FROM faculty WHERE name <> ''
+            UNION SELECT 'discipline:' || id FROM discipline WHERE name <> '' UNION SELECT 'field:' || id FROM field WHERE name <> ''
+            UNION SELECT 'journal:' || id FROM journal WHERE name <> ''""",
+        "tord": """
+            SELECT * FROM (VALUES ('university', 0), ('faculty', 1), ('discipline', 2), ('field', 3), ('journal', 4), ('academic', 5),
+                                  ('research_paper', 6)) AS t(tab, k)""",
+        "own": """
+            SELECT me, e, s, t, o, row_number() OVER (PARTITION BY me ORDER BY e) AS rn, count(*) OVER (PARTITION BY me) AS n
+            FROM (SELECT DISTINCT me, rel || ':' || s || ':' || t AS e, s, t, CASE WHEN s = me THEN t ELSE s END AS o FROM rawedge) y""",
+        "load0": "SELECT q, nid FROM gseed WHERE nid IN (SELECT nid FROM present)",
+        "ref1": """
+            SELECT q, nid, row_number() OVER (PARTITION BY q ORDER BY k, raw, rn) AS place FROM (
+                SELECT l.q, w.o AS nid, k, substr(l.nid, strpos(l.nid, ':') + 1) AS raw, w.rn,
+                       row_number() OVER (PARTITION BY l.q, w.o ORDER BY k, substr(l.nid, strpos(l.nid, ':') + 1), w.rn) AS one
+                FROM load0 l JOIN own w ON w.me = l.nid AND w.rn <= 20 JOIN tord ON tab = split_part(l.nid, ':', 1)
+                WHERE NOT EXISTS (SELECT 1 FROM gseed g WHERE g.q = l.q AND g.nid = w.o)) z WHERE one = 1""",
+        "ok1": "SELECT q, nid FROM ref1 WHERE place <= 49",
+        "load1": "SELECT q, nid FROM ok1 WHERE nid IN (SELECT nid FROM present)",
+        "room2": "SELECT q, least(49 - count(*), 100 - count(*)) AS room FROM ok1 GROUP BY q",
+        "ref2": """
+            SELECT q, nid, row_number() OVER (PARTITION BY q ORDER BY k, raw, rn) AS place FROM (
+                SELECT l.q, w.o AS nid, k, substr(l.nid, strpos(l.nid, ':') + 1) AS raw, w.rn,
+                       row_number() OVER (PARTITION BY l.q, w.o ORDER BY k, substr(l.nid, strpos(l.nid, ':') + 1), w.rn) AS one
+                FROM load1 l JOIN own w ON w.me = l.nid AND w.rn <= 20 JOIN tord ON tab = split_part(l.nid, ':', 1)
+                WHERE NOT EXISTS (SELECT 1 FROM gseed g WHERE g.q = l.q AND g.nid = w.o)
+                AND NOT EXISTS (SELECT 1 FROM ok1 g WHERE g.q = l.q AND g.nid = w.o)) z WHERE one = 1""",
+        "ok2": "SELECT r.q, r.nid FROM ref2 r JOIN room2 ON room2.q = r.q WHERE place <= room",
+        "load2": "SELECT q, nid FROM ok2 WHERE nid IN (SELECT nid FROM present)",
+        "gnode": "SELECT q, nid FROM load0 UNION ALL SELECT q, nid FROM load1 UNION ALL SELECT q, nid FROM load2",
+        "gedge": "SELECT DISTINCT g.q, w.e, w.s, w.t FROM gnode g JOIN own w ON w.me = g.nid AND w.rn <= 20",
+        "gcut": """
+            SELECT g.q FROM gnode g JOIN own w ON w.me = g.nid WHERE w.n > 20 UNION SELECT q FROM ref1 WHERE place > 49
+            UNION SELECT r.q FROM ref2 r JOIN room2 ON room2.q = r.q WHERE place > room""",
+        "known": "SELECT q, nid FROM gnode UNION SELECT q, nid FROM gseed",
+        "adj": """
+            SELECT q, node, other, e, row_number() OVER (PARTITION BY q, node ORDER BY e) AS rn, count(*) OVER (PARTITION BY q, node) AS n
+            FROM (SELECT q, s AS node, t AS other, e FROM gedge UNION ALL SELECT q, t, s, e FROM gedge) z""",
+        "walk1": """
+            SELECT a.q, a.other AS nid, min(a.e) AS e1 FROM adj a JOIN gseed g ON g.q = a.q AND g.nid = a.node
+            JOIN known k ON k.q = a.q AND k.nid = a.other WHERE a.rn <= 20 AND a.other <> g.nid GROUP BY ALL""",
+        "event2": """
+            SELECT a.q, a.other AS nid, w.e1, a.e, row_number() OVER (PARTITION BY a.q ORDER BY w.nid, a.e) AS ev
+            FROM walk1 w JOIN adj a ON a.q = w.q AND a.node = w.nid AND a.rn <= 20 JOIN known k ON k.q = a.q AND k.nid = a.other
+            WHERE NOT EXISTS (SELECT 1 FROM gseed g WHERE g.q = a.q AND g.nid = a.other)
+            AND NOT EXISTS (SELECT 1 FROM walk1 g WHERE g.q = a.q AND g.nid = a.other)""",
+        "found2": """
+            SELECT q, nid, min([e1, e]) AS path, row_number() OVER (PARTITION BY q ORDER BY min(ev)) AS place FROM event2 GROUP BY q, nid""",
+        "left2": "SELECT q, 49 - count(*) AS room FROM walk1 GROUP BY q",
+        "gpath": """
+            SELECT q, nid, [] AS path, 1e0 AS rel FROM gseed UNION ALL SELECT q, nid, [e1], 1e0 * 0.8e0 FROM walk1
+            UNION ALL SELECT f.q, f.nid, f.path, 1e0 * 0.8e0 * 0.8e0 FROM found2 f JOIN left2 l ON l.q = f.q WHERE place <= room""",
+        "wcut": """
+            SELECT a.q FROM adj a JOIN gseed g ON g.q = a.q AND g.nid = a.node WHERE a.n > 20
+            UNION SELECT a.q FROM adj a JOIN walk1 w ON w.q = a.q AND w.nid = a.node WHERE a.n > 20
+            UNION SELECT f.q FROM found2 f JOIN left2 l ON l.q = f.q WHERE place > room""",
+    }
+
+
+SEEDED = walked("SELECT 'n' || doc_id AS q, 'research_paper:' || doc_id AS nid FROM documents")
+
+
+def seed_rows(v: Views) -> DataFrame:
+    return one_seed_each(v).select(
         "query_id", F.col("node_id").alias("entity_id"), F.lit(1.0).alias("rrf_score"), F.lit(1).alias("fused_rank"),
         F.array().cast("array<string>").alias("evidence_ids"))
-    return graph.expand(seeds, near.nodes, near.edges)
 
 
-@check("expand")
+def adjacency(v: Views) -> graph.Adjacency:
+    return graph.write_adjacency(library(v), new_folder(v.spark, "adjacency"))
+
+
+@check("neighbourhood_default", "SELECT q AS query_id, nid AS node_id FROM gnode", **SEEDED)
 def _(v):
-    return expanded(v).where("kind = 'path'").select(
+    return graph.neighbourhood(one_seed_each(v), {}, adjacency=adjacency(v)).nodes
+
+
+@check("neighbourhood_edges_default", "SELECT q AS query_id, e AS edge_id, s AS source_id, t AS target_id FROM gedge", **SEEDED)
+def _(v):
+    return graph.neighbourhood(one_seed_each(v), {}, adjacency=adjacency(v)).edges.drop("relation")
+
+
+@check("expand", """
+    SELECT q AS query_id, nid AS target_id, 'research_paper:' || substr(q, 2) AS seed_id, array_to_string(path, '|') AS edge_ids,
+           round(rel, 6) AS relevance, q IN (SELECT q FROM wcut) AS truncated FROM gpath""", **SEEDED)
+def _(v):
+    near = graph.neighbourhood(one_seed_each(v), library(v))
+    return graph.expand(seed_rows(v), near.nodes, near.edges).where("kind = 'path'").select(
         "query_id", "target_id", "seed_id", joined("edge_ids").alias("edge_ids"), rounded("relevance").alias("relevance"),
         "truncated")
 
 
+@check("truncated_default", """
+    SELECT q AS query_id, q IN (SELECT q FROM wcut) OR q IN (SELECT q FROM gcut) AS truncated FROM gseed""", **SEEDED)
+def _(v):
+    near = graph.neighbourhood(one_seed_each(v), {}, adjacency=adjacency(v))
+    paths = graph.expand(seed_rows(v), near.nodes, near.edges)
+    return graph.truncation_flag(paths, near.truncated, one_seed_each(v))
+
+
 @check("prefer_path", """
     SELECT k AS target_id, split_part(best, ';', 2) AS edge_ids, rel AS relevance FROM (
         SELECT l_partkey AS k, max(l_quantity) AS rel,

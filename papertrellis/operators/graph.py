@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from math import isclose
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from papertrellis.functions.text import id_array
 from papertrellis.operators.scores import METADATA_TABLES, namespaced
@@ -163,9 +163,51 @@ class Neighbourhood:
     truncated: DataFrame  # query_id, prefetch_truncated
 
 
-def neighbourhood(seeds: DataFrame, tables: dict[str, DataFrame], budget: Budget | None = None) -> Neighbourhood:
+ADJACENCY = f"node_id string, edges {EDGE}, bucket int"
+
+
+def write_adjacency(tables: dict[str, DataFrame], path: str, max_neighbors: int = Budget.max_neighbors, buckets: int = 64) -> Adjacency:
+    """Every node's first ``max_neighbors`` edges and one more by edge id, clustered by node under a new ``path``. Nodes without edges are there too."""
+    out = None
+    for table in TABLE_ORDER:
+        if table not in tables:
+            continue
+        df = tables[table].where(F.col("id").isNotNull())
+        if table in METADATA_TABLES:
+            df = df.where(F.coalesce(F.col("name"), F.lit("")) != "")
+        edges = own_edges(df, table) if table in ("academic", "research_paper") else F.array().cast(EDGE)
+        part = df.select(namespaced(table, "id").alias("node_id"), F.slice(edges, 1, max_neighbors + 1).alias("edges"))
+        out = part if out is None else out.unionByName(part)
+    placed = out.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(buckets)).cast("int"))
+    placed.repartition("bucket", F.pmod(F.hash("node_id"), F.lit(8))).sortWithinPartitions("bucket", "node_id").write.partitionBy("bucket").parquet(path)
+    return Adjacency(out.sparkSession, path, max_neighbors, buckets)
+
+
+@dataclass
+class Adjacency:
+    """Stored adjacency lists; a hop reads the folders of its frontier, and no table of rows."""
+
+    spark: SparkSession
+    path: str
+    max_neighbors: int = Budget.max_neighbors
+    buckets: int = 64
+
+    def load(self, frontier: DataFrame, budget: Budget) -> DataFrame:
+        """(query_id, node_id, edges, cut) of the frontier nodes that are stored."""
+        if budget.max_neighbors > self.max_neighbors:
+            raise ValueError(f"stored lists have {self.max_neighbors} neighbours, the budget asks for {budget.max_neighbors}")
+        wanted = frontier.withColumn("bucket", F.pmod(F.xxhash64("node_id"), F.lit(self.buckets)).cast("int"))
+        some = sorted(r[0] for r in wanted.select("bucket").distinct().collect())
+        stored = self.spark.read.schema(ADJACENCY).parquet(self.path).where(F.col("bucket").isin(some) if some else F.lit(False))
+        return stored.join(broadcast_if_small(wanted), ["bucket", "node_id"]).select(
+            "query_id", "node_id", F.slice("edges", 1, budget.max_neighbors).alias("edges"), (F.size("edges") > budget.max_neighbors).alias("cut"))
+
+
+def neighbourhood(seeds: DataFrame, tables: dict[str, DataFrame], budget: Budget | None = None, adjacency: Adjacency | None = None) -> Neighbourhood:
     """Hop by hop from the seeds (query_id, node_id), within the entity and relation budgets.
 
+    With ``adjacency`` the hops read stored lists, else the rows of ``tables``, whose edges are then built anew per hop.
+
     Visits follow one total order - hop, table, node id, edge id - so the
     budgets are running counts: a target already scheduled is dropped, a new
     one keeps its first row, and the first ones that fit are admitted.
@@ -178,7 +220,7 @@ def neighbourhood(seeds: DataFrame, tables: dict[str, DataFrame], budget: Budget
     )
     scheduled, loaded, edges, flags = frontier, None, None, None
     for depth in range(budget.max_hops + 1):
-        rows = cut_lineage(_load(frontier, tables, budget))
+        rows = cut_lineage(adjacency.load(frontier, budget) if adjacency else _load(frontier, tables, budget))
         loaded = rows.select("query_id", "node_id") if loaded is None else loaded.unionByName(
             rows.select("query_id", "node_id"))
         stated = rows.select("query_id", F.inline("edges")).drop("other_id")

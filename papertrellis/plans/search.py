@@ -15,12 +15,14 @@ class Corpus:
     """The readable tables; ``dense`` holds hits of an optional second channel.
 
     ``store`` is the corpus as inverted.write_store laid it out: a batch then reads only what its terms, filters and pieces fall into.
+    ``adjacency`` holds the graph's lists as graph.write_adjacency stored them; without it each hop reads the tables.
     ``index`` is a forward index, read in full by every batch; without either, the texts are tokenised for each batch.
     """
 
     tables: dict[str, DataFrame]
     index: DataFrame | None = None
     store: inverted.Store | None = None
+    adjacency: graph.Adjacency | None = None
     dense: DataFrame | None = None
     profiles: DataFrame | None = None
 
@@ -78,7 +80,7 @@ def expand(corpus: Corpus, queries: DataFrame, fused: DataFrame, budget: graph.B
     chosen = seeds.where(F.col("fused_rank") <= F.least(F.col("seed_limit"), F.lit(budget.max_entities))).select(
         "query_id", F.col("entity_id").alias("node_id")
     )
-    near = graph.neighbourhood(chosen, corpus.tables, budget)
+    near = graph.neighbourhood(chosen, corpus.tables, budget, corpus.adjacency)
     rows = seeds.select(
         "query_id", "entity_id", "rrf_score", "fused_rank", "seed_limit",
         F.array().cast("array<string>").alias("evidence_ids"),

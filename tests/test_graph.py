@@ -129,3 +129,23 @@ def test_eight_relation_types(spark):
     out = graph.project_edges(a, p)
     assert {r["relation"] for r in out.collect()} == set(graph.RELATIONS)
     assert out.where(F.col("relation") == "AUTHORED").count() == 1
+
+
+def test_stored_lists_give_the_same_neighbourhood(spark, tmp_path):
+    people = spark.createDataFrame(
+        [(str(i), f"P{i}", [str((i * k) % 40) for k in range(1, 1 + i % 9)], [str(i % 4)], [], [None, str(i % 3)]) for i in range(30)] + [(None, "x", ["1"], [], [], [])],
+        "id string, name string, research_paper_ids array<string>, university_ids array<string>, discipline_ids array<string>, field_ids array<string>")
+    papers = spark.createDataFrame(
+        [(str(i), f"T{i}", [str(i % 30), str(i % 7)], [str((i + 1) % 40), str((i * 3) % 40)], [str(i % 4)], ["f"], "j") for i in range(40)],
+        "id string, name string, academic_ids array<string>, outgoing_citations array<string>, university_ids array<string>, faculty_ids array<string>, journal_id string")
+    tables = {"academic": people, "research_paper": papers, "university": spark.createDataFrame([("0", "U"), ("1", ""), ("2", None)], "id string, name string")}
+    seeds = spark.createDataFrame([(f"q{i}", f"research_paper:{i}") for i in range(12)] + [("q1", "academic:3"), ("q2", "university:0"), ("q3", "research_paper:none")], "query_id string, node_id string")
+    store = graph.write_adjacency(tables, str(tmp_path / "lists"), buckets=8)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for budget in (graph.Budget(), graph.Budget(max_hops=3, max_entities=9, max_neighbors=3), graph.Budget(max_hops=0)):
+        a, b = graph.neighbourhood(seeds, tables, budget), graph.neighbourhood(seeds, {}, budget, store)
+        assert rows(a.nodes) == rows(b.nodes) and rows(a.edges) == rows(b.edges) and rows(a.truncated) == rows(b.truncated)
+    with pytest.raises(ValueError):
+        graph.neighbourhood(seeds, {}, graph.Budget(max_neighbors=21), store)
+    plan = store.load(seeds.limit(1), graph.Budget())._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and plan.count("Scan parquet") == 1
