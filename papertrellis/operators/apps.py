@@ -77,22 +77,33 @@ def _for_blank(asked: DataFrame, everyone: DataFrame) -> DataFrame:
 
 def matching_fields(queries: DataFrame, fields: DataFrame) -> DataFrame:
     """(query_id, field_id): fields whose name contains any query word; a blank query takes every field."""
+    named = fields.where(F.col("id").isNotNull() & has_text(F.col("name"))).select(F.col("id").alias("field_id"))
+    return _worded_fields(queries, fields).unionByName(_for_blank(query_words(queries), named))
+
+
+def _worded_fields(queries: DataFrame, fields: DataFrame) -> DataFrame:
     named = fields.where(F.col("id").isNotNull() & has_text(F.col("name"))).select("id", fold(F.col("name")).alias("_s"))
-    asked = query_words(queries)
-    words = _asked_words(asked)
-    found = words.join(containing(words, named), "word").select("query_id", "id").distinct()
-    return found.unionByName(_for_blank(asked, named.select("id"))).withColumnRenamed("id", "field_id")
+    words = _asked_words(query_words(queries))
+    return words.join(containing(words, named), "word").select("query_id", F.col("id").alias("field_id")).distinct()
 
 
 def researchers_by_field(queries: DataFrame, academics: DataFrame, fields: DataFrame) -> DataFrame:
     """(query_id, id, score 0): academics that hold a matching field."""
+    return _holders(matching_fields(queries, fields), academics)
+
+
+def _holders(matched: DataFrame, academics: DataFrame) -> DataFrame:
     links = academics.select("id", F.explode(F.array_distinct(id_array(F.col("field_ids")))).alias("field_id"))
-    return links.join(matching_fields(queries, fields), "field_id").select("query_id", "id").distinct().withColumn(
-        "score", F.lit(0))
+    return links.join(matched, "field_id").select("query_id", "id").distinct().withColumn("score", F.lit(0))
 
 
 def researchers_by_text(queries: DataFrame, academics: DataFrame) -> DataFrame:
-    """(query_id, id, score): words found in name and position, plus all words again for the whole query."""
+    """(query_id, id, score): words found in name and position, plus all words again for the whole query; a blank one finds everyone."""
+    everyone = _for_blank(query_words(queries), academics.select("id")).select("query_id", "id", F.lit(0).alias("score"))
+    return _worded_text(queries, academics).unionByName(everyone)
+
+
+def _worded_text(queries: DataFrame, academics: DataFrame) -> DataFrame:
     text = F.concat(fold(F.coalesce("name", F.lit(""))), F.lit(" "), fold(F.coalesce("academic_position", F.lit(""))))
     people = academics.select("id", text.alias("_s"))
     asked = query_words(queries)
@@ -103,9 +114,8 @@ def researchers_by_text(queries: DataFrame, academics: DataFrame) -> DataFrame:
     # only where every word was met can the whole query stand
     whole = met.where(F.col("_kinds") == F.col("_all")).join(people, "id").where(F.col("_s").contains(F.col("_text"))).select(
         "query_id", "id", F.col("_m").alias("_more"))
-    found = met.select("query_id", "id", "score").join(whole, ["query_id", "id"], "left").select(
+    return met.select("query_id", "id", "score").join(whole, ["query_id", "id"], "left").select(
         "query_id", "id", (F.col("score") + F.coalesce("_more", F.lit(0))).cast("int").alias("score"))
-    return found.unionByName(_for_blank(asked, people.select("id")).select("query_id", "id", F.lit(0).alias("score")))
 
 
 def directory_filter(rows: DataFrame, queries: DataFrame, academics: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -140,21 +150,60 @@ def first_related_name(rows: DataFrame, array: str, table: DataFrame, out: str)
         F.min_by("_n", "pos").alias(out))
 
 
+def _first(rows: DataFrame, keys: list[str], academics: DataFrame, most: int) -> DataFrame:
+    """``rows`` (keys, id, score) with their rank in the order of a directory, up to ``most``; only names travel with them."""
+    named = academics.select("id", fold(F.when(has_text(F.col("name")), F.col("name")).otherwise(F.col("id"))).alias("_fold"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "_fold", F.concat(F.lit("academic:"), "id"))
+    return rows.join(named, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("_fold")
+
+
+def _blank_lists(blank: DataFrame, academics: DataFrame, tables: dict[str, DataFrame], most: int) -> DataFrame:
+    """(query_id, id, score, rank): the first ``most`` of everyone who holds a named field, for blank queries.
+
+    Blank queries with the same university and discipline share one list, found through the names that each academic has.
+    """
+    fields = tables["field"].where(F.col("id").isNotNull() & has_text(F.col("name"))).select(F.col("id").alias("field_id"))
+    people = academics
+    if not fields.isEmpty():
+        held = academics.select("id", F.explode(F.array_distinct(id_array(F.col("field_ids")))).alias("field_id"))
+        people = academics.join(held.join(fields, "field_id", "left_semi").select("id").distinct(), "id", "left_semi")
+    keys, listed, asked = [], people.select("id"), blank.select("query_id")
+    for column, array, table in (("university", "university_ids", "university"), ("discipline", "discipline_ids", "discipline")):
+        if column not in blank.columns:
+            continue
+        keys.append(column)
+        names = tables[table].where(has_text(F.col("name"))).select(F.col("id").alias("_rid"), F.col("name").alias(column))
+        own = people.select("id", F.explode(id_array(F.col(array))).alias("_rid")).join(names, "_rid").select("id", column)
+        listed = listed.join(own.unionByName(people.select("id", F.lit("").alias(column))).distinct(), "id")
+        asked = asked.join(blank.select("query_id", F.when(has_text(F.col(column)), F.col(column)).otherwise("").alias(column)), "query_id")
+    if not keys:
+        keys, listed, asked = ["_all"], listed.withColumn("_all", F.lit("")), asked.withColumn("_all", F.lit(""))
+    wanted = listed.join(broadcast_if_small(asked.select(*keys).distinct()), keys).distinct().withColumn("score", F.lit(0))
+    return asked.join(cut_lineage(_first(wanted, keys, academics, most)), keys).select("query_id", "id", "score", "rank")
+
+
 def researcher_results(
     queries: DataFrame, academics: DataFrame, tables: dict[str, DataFrame], limit: int = RESULT_LIMIT
 ) -> DataFrame:
-    """Directory search: by field where a field matches, else by words; the first ``limit`` with their related names."""
-    by_field = researchers_by_field(queries, academics, tables["field"])
-    fielded = matching_fields(queries, tables["field"]).select("query_id").distinct()
-    by_text = researchers_by_text(queries.join(fielded, "query_id", "left_anti"), academics)
-    # read for the totals and for the lists, then the lists four times: each is computed once
-    rows = cut_lineage(directory_filter(by_field.unionByName(by_text), queries, academics, tables))
+    """Directory search: by field where a field matches, else by words; the first ``limit`` with their related names.
+
+    Matches are ids and scores until each task has cut them to the few that can be shown; whether more were found follows from one
+    row behind those. Blank queries share lists.
+    """
+    most = max(limit + 1, SEED_LIMIT)
+    blank = query_words(queries).where(F.size("_words") == 0).drop("_text", "_words")
+    worded = query_words(queries).where(F.size("_words") > 0).drop("_text", "_words")
+    matched = cut_lineage(_worded_fields(worded, tables["field"]))
+    by_field = _holders(matched, academics)
+    by_text = _worded_text(worded.join(matched.select("query_id").distinct(), "query_id", "left_anti"), academics)
+    rows = directory_filter(by_field.unionByName(by_text), worded, academics, tables)
+    first = _first(rows, ["query_id"], academics, most).select("query_id", "id", "score", "rank")
+    first = cut_lineage(first.unionByName(_blank_lists(blank, academics, tables, most)))
+    sizes = first.groupBy("query_id").agg(F.max("rank").alias("_total"))
     people = academics.select(
         "id", F.when(has_text(F.col("name")), F.col("name")).otherwise(F.col("id")).alias("name"), "academic_position",
         "profile_url", "orcid_url", "university_ids", "discipline_ids", "field_ids")
-    sizes = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("_total"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), fold(F.col("name")), F.concat(F.lit("academic:"), "id"))
-    top = cut_lineage(rows.join(people, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+    top = cut_lineage(people.join(broadcast_if_small(first.where(F.col("rank") <= limit)), "id"))
     shown = top.select("id", "university_ids", "discipline_ids", "field_ids").dropDuplicates(["id"])
     top = top.join(sizes, "query_id").join(
         first_related_name(shown, "university_ids", tables["university"], "institution"), "id", "left").join(

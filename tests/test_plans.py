@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from papertrellis.operators import lexical
+from papertrellis.operators import apps, lexical
 from papertrellis.plans import catalog
 
 
@@ -31,3 +31,25 @@ def test_array_relations_join_by_key(spark):
     assert out.count() == 1
     text = plan_text(out)
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_directory_lists_need_no_nested_loop(spark):
+    people = spark.createDataFrame([(str(i), f"Name {i % 7}", "prof tree", ["f1"] if i % 2 else [], ["u1"] if i % 3 else None, ["d1"]) for i in range(120)],
+                                   "id string, name string, academic_position string, field_ids array<string>, university_ids array<string>, discipline_ids array<string>")
+    people = people.withColumn("profile_url", F.lit(None).cast("string")).withColumn("orcid_url", F.lit(""))
+    tables = {"field": spark.createDataFrame([("f1", "Trees"), ("f2", None)], "id string, name string"),
+              "university": spark.createDataFrame([("u1", "U One")], "id string, name string"), "discipline": spark.createDataFrame([("d1", "D")], "id string, name string")}
+    asked = spark.createDataFrame([("a", " ", None, None), ("b", "", "U One", "D"), ("c", None, "U Two", None), ("d", "tree", "U One", None), ("e", "name 3", None, ""), ("f", "", "U One", "D")],
+                                  "query_id string, text string, university string, discipline string")
+    out = apps.researcher_results(asked, people, tables)
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["id"], r["truncated"]))
+    key = lambda i: (f"name {int(i) % 7}", f"academic:{i}")
+    holders = sorted((str(i) for i in range(1, 120, 2)), key=key)
+    here = [i for i in holders if int(i) % 3]
+    assert got["a"] == [(i, True) for i in holders[:25]] and got["b"] == got["f"] == [(i, len(here) > 25) for i in here[:25]]
+    assert "c" not in got and got["d"] == got["b"] and {i for i, _ in got["e"]} <= {str(i) for i in range(120)} and len(got["e"]) == 25
+    assert "NestedLoop" not in plan_text(out) and "Cartesian" not in plan_text(out)
+    nobody = {**tables, "field": tables["field"].where("id = 'f2'")}
+    assert apps.researcher_results(asked.where("query_id = 'a'"), people, nobody).count() == 25
