@@ -176,7 +176,7 @@ def _(v):
         SELECT academic_no, min(paper_no) AS first_paper FROM authorship GROUP BY academic_no) z""")
 def _(v):
     first = v("authorship").groupBy("academic_no").agg(F.min("paper_no").alias("first_paper"))
-    return dense_ids(first, ["first_paper", "academic_no"], "id", ranges=7).select("academic_no", "id")
+    return dense_ids(first, ["first_paper", "academic_no"], "id", rows=5_000).select("academic_no", "id")
 
 
 # --- scope ---

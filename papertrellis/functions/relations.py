@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from papertrellis.session import cut_lineage
 
+# Rows of a range in the two-level numbering below, about.
+RANGE_ROWS = 1 << 17
+
 
 def explode_ids(df: DataFrame, array: str, member: str, pos: str = "pos", keep: list[str] | None = None) -> DataFrame:
     """One row per array member with its position; null members are skipped."""
@@ -56,22 +59,25 @@ def distinct_ci(items: Column) -> Column:
     return F.filter(cleaned, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
 
 
-def dense_ids(df: DataFrame, order: list[str | Column], out: str, ranges: int | None = None) -> DataFrame:
+def dense_ids(df: DataFrame, order: list[str | Column], out: str, rows: int = RANGE_ROWS) -> DataFrame:
     """0-based dense numbering in the order of ``order``, whatever its columns are and however their values are spread.
 
-    Two levels: rows are dealt by sampled splits into ranges of about equal size, sorted and kept; the counts of the ranges (one number
-    for each of at most ``ranges``) give their offsets, and each row adds its place in its range. Rows alike in all of ``order`` are
-    dealt by a hash of their values, so that not one key fills a range; which of them comes first is left open.
+    Two levels: rows are dealt by sampled splits into ranges of about ``rows`` rows, sorted and kept; the counts of the ranges (one
+    number each) give their offsets, and each row adds its place in its range. Rows alike in all of ``order`` are dealt by a hash
+    besides, so that not one key fills a range; which of them comes first is left open. ``df`` is computed once.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    many = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
+    kept = cut_lineage(df)
+    many = max(1, -(-kept.count() // rows))
+    salted = kept.withColumn("_salt", F.xxhash64(F.monotonically_increasing_id()))
     laid = salted.repartitionByRange(many, *keys, "_salt").sortWithinPartitions(*keys, "_salt").withColumn("_range", F.spark_partition_id())
-    laid = cut_lineage(laid.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_salt"))
-    found = {r[0]: r[1] for r in laid.groupBy("_range").agg(F.count(F.lit(1))).collect()}
+    laid = laid.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).drop("_salt")
     offsets = [0]
-    for k in range(max(found, default=0)):
-        offsets.append(offsets[-1] + found.get(k, 0))
+    if many > 1:
+        laid = cut_lineage(laid)
+        found = {r[0]: r[1] for r in laid.groupBy("_range").agg(F.count(F.lit(1))).collect()}
+        for k in range(max(found, default=0)):
+            offsets.append(offsets[-1] + found.get(k, 0))
     start = F.get(F.array(*[F.lit(n).cast("long") for n in offsets]), F.col("_range"))
     return laid.withColumn(out, (start + F.col("_place")).cast("long")).drop("_range", "_place")
 

@@ -163,22 +163,28 @@ def _blank_lists(blank: DataFrame, academics: DataFrame, tables: dict[str, DataF
     Blank queries with the same university and discipline share one list, found through the names that each academic has.
     """
     fields = tables["field"].where(F.col("id").isNotNull() & has_text(F.col("name"))).select(F.col("id").alias("field_id"))
-    people = academics
+    people = academics.select("id", "university_ids", "discipline_ids")
     if not fields.isEmpty():
-        held = academics.select("id", F.explode(F.array_distinct(id_array(F.col("field_ids")))).alias("field_id"))
-        people = academics.join(held.join(fields, "field_id", "left_semi").select("id").distinct(), "id", "left_semi")
+        # ids of an academic side by side in its row, so no row moves to find the holders
+        held = academics.select("id", "university_ids", "discipline_ids", F.explode(F.array_distinct(id_array(F.col("field_ids")))).alias("field_id"))
+        people = held.join(broadcast_if_small(fields), "field_id", "left_semi").select("id", "university_ids", "discipline_ids").distinct()
+    people = cut_lineage(people)
     keys, listed, asked = [], people.select("id"), blank.select("query_id")
     for column, array, table in (("university", "university_ids", "university"), ("discipline", "discipline_ids", "discipline")):
         if column not in blank.columns:
             continue
         keys.append(column)
-        names = tables[table].where(has_text(F.col("name"))).select(F.col("id").alias("_rid"), F.col("name").alias(column))
-        own = people.select("id", F.explode(id_array(F.col(array))).alias("_rid")).join(names, "_rid").select("id", column)
-        listed = listed.join(own.unionByName(people.select("id", F.lit("").alias(column))).distinct(), "id")
-        asked = asked.join(blank.select("query_id", F.when(has_text(F.col(column)), F.col(column)).otherwise("").alias(column)), "query_id")
+        named = blank.select("query_id", F.when(has_text(F.col(column)), F.col(column)).otherwise("").alias(column))
+        asked = asked.join(named, "query_id")
+        # only names that some query asks for travel with an academic; none at all is a name of its own
+        some = broadcast_if_small(named.select(column).distinct())
+        names = tables[table].where(has_text(F.col("name"))).select(F.col("id").alias("_rid"), F.col("name").alias(column)).join(some, column, "left_semi")
+        own = people.select("id", F.explode(id_array(F.col(array))).alias("_rid")).join(broadcast_if_small(names), "_rid").select("id", column).distinct()
+        free = people.select("id", F.lit("").alias(column)).join(some, column, "left_semi")
+        listed = listed.join(own.unionByName(free), "id") if len(keys) > 1 else own.unionByName(free)
     if not keys:
         keys, listed, asked = ["_all"], listed.withColumn("_all", F.lit("")), asked.withColumn("_all", F.lit(""))
-    wanted = listed.join(broadcast_if_small(asked.select(*keys).distinct()), keys).distinct().withColumn("score", F.lit(0))
+    wanted = listed.join(broadcast_if_small(asked.select(*keys).distinct()), keys).withColumn("score", F.lit(0))
     return asked.join(cut_lineage(_first(wanted, keys, academics, most)), keys).select("query_id", "id", "score", "rank")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from papertrellis.functions.relations import dense_ids, empty_if_null, ordered_distinct
 from papertrellis.functions.text import has_text
+from papertrellis.session import cut_lineage
 
 # OpenAlex ids of the nine universities in scope.
 TARGET_SOURCES = (
@@ -116,11 +117,15 @@ def academic_ids(works: DataFrame) -> DataFrame:
 
 
 def academics_dim(works: DataFrame) -> DataFrame:
-    """Academics with paper, discipline and field ids (repeats kept) and distinct university ids, in order."""
+    """Academics with paper, discipline and field ids (repeats kept) and distinct university ids, in order.
+
+    The columns of the works that ids and lists come from are computed once and kept; all numberings read them from there.
+    """
+    works = cut_lineage(works.select("work_seq", "authorships", "primary_topic"))
     ids = academic_ids(works)
     authors = work_authors(works).where(F.col("author_key").isNotNull()).select("work_seq", "a_pos", "author_key")
-    d = disciplines_dim(works).select(F.col("id").alias("discipline_id"), F.col("name").alias("_d"))
-    f = fields_dim(works).select(F.col("id").alias("field_id"), F.col("name").alias("_f"))
+    d = _topic_dim(works, "discipline").select(F.col("id").alias("discipline_id"), F.col("name").alias("_d"))
+    f = _topic_dim(works, "subfield").select(F.col("id").alias("field_id"), F.col("name").alias("_f"))
     topics = _topic(works).join(d, F.col("discipline").eqNullSafe(F.col("_d"))).join(
         f, F.col("subfield").eqNullSafe(F.col("_f"))).select("work_seq", "discipline_id", "field_id")
     rows = authors.join(topics, "work_seq").join(work_ids(works), "work_seq")
@@ -140,7 +145,8 @@ def academics_dim(works: DataFrame) -> DataFrame:
 
 
 def papers_fact(works: DataFrame) -> DataFrame:
-    """One row per work with foreign ids resolved."""
+    """One row per work with foreign ids resolved; the works are computed once and kept, as all numberings read them."""
+    works = cut_lineage(works)
     ids = academic_ids(works).select("author_key", F.col("id").alias("aid"))
     authors = work_authors(works).where(F.col("author_key").isNotNull()).select("work_seq", "a_pos", "author_key")
     academics = ordered_distinct(authors.join(ids, "author_key"), ["work_seq"], "aid", ["a_pos"], "academic_ids")

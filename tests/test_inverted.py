@@ -107,10 +107,10 @@ def test_empty_corpus(spark, corpus, questions, tmp_path):
 def test_dense_ids_of_spread_and_equal_keys(spark):
     keys = [i * 10**6 for i in range(500)] + [-5, -5, None] + [3] * 200
     df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, n long").repartition(5)
-    out = dense_ids(df, ["k", "n"], "id", ranges=9)
+    out = dense_ids(df, ["k", "n"], "id", rows=80)
     want = sorted(((k is not None, k or 0), n) for n, k in enumerate(keys))
     assert [(r["k"], r["n"]) for r in out.orderBy("id").collect()] == [((k[1] if k[0] else None), n) for k, n in want]
     assert sorted(r["id"] for r in out.collect()) == list(range(len(keys)))
-    same = dense_ids(spark.range(300).select(F.lit("x").alias("k")), ["k"], "id", ranges=6)
+    same = dense_ids(spark.range(300).select(F.lit("x").alias("k")), ["k"], "id", rows=60)
     assert sorted(r["id"] for r in same.collect()) == list(range(300))
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
