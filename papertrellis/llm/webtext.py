@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +58,23 @@ def _tag_end(page: str, at: int) -> int:
         at = close + 1
 
 
-def _signs(name: str, tag: str) -> tuple[bool, bool, bool]:
-    """(page furniture, main part, hidden) by an element's name, classes, id and role."""
-    chrome, body, hidden = name in CHROME, name in BODY, name in HIDDEN
+def _signs(name: str, tag: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """(page furniture, main part, hidden) by an element's name, classes, id and role.
+
+    A header ``inside`` the main part, or one that a class calls the header of a text, is no furniture: it has the text's title.
+    """
+    chrome, body, hidden = name in CHROME and not (inside and name == "header"), name in BODY, name in HIDDEN
     if len(tag) > len(name) + 2:
         for key, a, b, c in _ATTR.findall(tag):
             value, key = a or b or c, key.lower()
             if key in ("class", "id"):
-                words = set(_WORDS.findall(_CAMEL.sub(" ", value).lower()))
-                chrome |= bool(words & CHROME_WORDS) and name not in ("body", "html", "article", "main")
-                body |= bool(words & BODY_WORDS)
+                for one in _CAMEL.sub("-", value).lower().split():
+                    words = set(_WORDS.findall(one))
+                    furniture = words & CHROME_WORDS
+                    if inside or words & BODY_WORDS:
+                        furniture.discard("header")
+                    chrome |= bool(furniture) and name not in ("body", "html", "article", "main")
+                    body |= bool(words & BODY_WORDS)
             elif key == "role":
                 chrome |= value.lower() in ROLES
                 body |= value.lower() in ("main", "article")
@@ -78,6 +86,7 @@ def _signs(name: str, tag: str) -> tuple[bool, bool, bool]:
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
     """(text, words, words in links, in page furniture, in the main part, innermost block tag) of each block with text, in page order."""
     out, stack = [], []  # stack: (name, furniture, main part, hidden) of the open elements, each with what its parents have
+    standing: Counter[str] = Counter()  # open elements by name, so that an end tag without one costs nothing
     parts: list[str] = []
     words = linked = links = 0
     tag_now = ""
@@ -96,12 +105,13 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
 
     def close(name: str) -> None:
         nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                for gone in stack[k:]:
-                    links -= gone[0] == "a"
-                del stack[k:]
-                return
+        if not standing[name]:
+            return
+        gone = ""
+        while gone != name:
+            gone = stack.pop()[0]
+            standing[gone] -= 1
+            links -= gone == "a"
 
     def say(text: str) -> None:
         nonlocal linked
@@ -144,7 +154,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
                     break
                 if stack[k][0] not in INLINE and stack[k][0] != "p":
                     break
-        chrome, body, hidden = _signs(name, tag)
+        chrome, body, hidden = _signs(name, tag, bool(stack) and stack[-1][2])
         if stack:
             _, up_chrome, up_body, up_hidden = stack[-1]
             if name in BODY and not up_chrome:
@@ -157,6 +167,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, str]]:
         if tag.endswith("/>") and name in ("svg", "path", "p", "div", "span") and name != "p":
             continue
         stack.append((name, chrome, body, hidden))
+        standing[name] += 1
         links += name == "a"
     flush()
     return out

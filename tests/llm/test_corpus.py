@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -434,3 +435,13 @@ def test_web_text(spark):
     table = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit(3))
     got = webtext.extract(table).orderBy("page_id").collect()
     assert [len(r["main_text"]) > 0 for r in got] == [True, True, False, False] and webtext.extract(table.where("page_id < 0")).count() == 0
+
+
+def test_web_text_headers_and_deep_nesting():
+    tree = webtext.grow(*webtext.labelled())
+    long = "word " * 40
+    assert webtext.main_text(f"<header>Site name</header><article><header><h1>The title</h1></header><p>{long}</p></article>", tree) == "The title " + long.strip()
+    assert webtext.main_text(f'<div class="site-header">Name</div><div class="post-header"><p>{long}</p></div>', tree) == long.strip()
+    began = time.process_time()
+    webtext.blocks("<b>" * 200_000 + "</i>" * 200_000 + "text" + "</b>" * 200_000)
+    assert time.process_time() - began < 10
