@@ -47,7 +47,11 @@ def quantised(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine of each row pair in double precision; a row pair gives the same value wherever it stands."""
+    """Cosine of each row pair in double precision; a row pair gives the same value wherever it stands.
+
+    Rows are scaled by powers of two, which changes no digit, so that squares neither overflow nor vanish.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (a, b))
     dot = (a * b).sum(1)
     return dot / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 

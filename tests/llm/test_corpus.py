@@ -445,3 +445,12 @@ def test_web_text_headers_and_deep_nesting():
     began = time.process_time()
     webtext.blocks("<b>" * 200_000 + "</i>" * 200_000 + "text" + "</b>" * 200_000)
     assert time.process_time() - began < 10
+
+
+def test_cosines_of_very_large_and_very_small_vectors():
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 50, 8))
+    plain = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    assert (neighbours.cosines(a, b) == plain).all()
+    for x, y in ((1e200, 1e200), (1e-200, 1e-200), (1e300, 1e-300), (5e-324, 1.0)):
+        assert neighbours.cosines(np.array([[x, x]]), np.array([[y, 2 * y]]))[0] == pytest.approx(3 / np.sqrt(10))
