@@ -204,6 +204,18 @@ article>p 2 0 1 | article>p 5 1 1 | article>h2 2 0 1 | article>p 9 9 1 | article
 body 200 3 1 | body 12 11 0
 div 9 0 0 | div 25 1 0 | article>h1 6 0 1 | article>p 50 1 1 | article>p 21 0 1 | div 14 0 0 | p 11 0 0
 p 17 0 0 | main>p 20 0 1 | main>p 8 0 1 | main>ul>li 4 4 1 | span 6 0 0 | div 31 0 0
+div 60 60 0 | div 60 58 0
+p 60 60 0 | p 62 62 0
+p 9 0 1
+div 7 0 1
+p 6 0 1
+h1 3 0 1 | p 8 0 1
+div 5 0 1
+div 30 28 0 | div 45 2 1 | div 6 0 1 | div 50 1 1 | div 8 7 0 | div 12 12 0
+p 24 22 0 | p 40 1 1 | p 7 0 1 | p 38 0 1
+ul>li 40 39 0 | ul>li 35 35 0 | div 80 2 1 | div 9 1 1 | div 90 0 1
+div 6 6 0 | div 3 0 0 | div 7 7 0 | div 60 1 1 | div 4 0 1 | div 70 0 1 | div 9 9 0 | div 3 0 0 | div 8 8 0
+div 12 12 0 | div 5 0 0 | div 10 10 0 | p 45 0 1 | p 5 0 1 | p 55 2 1 | p 4 1 1 | p 62 0 1 | div 6 0 0 | div 11 11 0 | div 2 0 0 | div 5 5 0
 """
 
 

@@ -454,3 +454,22 @@ def test_cosines_of_very_large_and_very_small_vectors():
     assert (neighbours.cosines(a, b) == plain).all()
     for x, y in ((1e200, 1e200), (1e-200, 1e-200), (1e300, 1e-300), (5e-324, 1.0)):
         assert neighbours.cosines(np.array([[x, x]]), np.array([[y, 2 * y]]))[0] == pytest.approx(3 / np.sqrt(10))
+
+
+def test_web_text_where_names_tell_nothing():
+    tree = webtext.grow(*webtext.labelled())
+    split = set()
+
+    def walk(node):
+        if len(node) > 1:
+            split.add(webtext.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree)
+    assert {"words", "links", "links_before", "links_after"} <= split
+    long, linked = "word " * 40, "<a href=x>some place</a> " * 30
+    assert webtext.main_text(f"<p>{linked}</p><p>{linked}</p>", tree) == ""
+    assert webtext.main_text("<p>A page of one short sentence.</p>", tree) == "A page of one short sentence."
+    page = f'<div class="a1"><a>Home</a> <a>News</a> <a>Sport</a></div><div>{long}</div><div>Short line here.</div><div>{long}</div><div class="c3"><a>Imprint</a> <a>Contact</a></div>'
+    assert webtext.main_text(page, tree) == f"{long.strip()} Short line here. {long.strip()}"
