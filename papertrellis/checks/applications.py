@@ -559,7 +559,15 @@ def _(v):
     return hydrated(v).rows.select("query_id", "id", "name", "institution", "discipline", "position", "official_profile_url")
 
 
-@check("profile_payload")
+@check("profile_payload", f"""
+    SELECT 'a' || a.id AS query_id, a.id, a.name, u.name AS university, d.name AS discipline,
+           coalesce(nullif(trim(a.academic_position), ''), '{apps.NO_DESCRIPTION}') AS description, '{apps.NO_SUMMARY}' AS ai_summary,
+           'insufficient_information' AS summary_status,
+           (SELECT count(*) FROM walk1 w WHERE w.q = 'a' || a.id AND w.e1 LIKE 'AUTHORED:%') AS n_publications,
+           coalesce(a.profile_url, a.orcid_url) AS official_profile_url,
+           'a' || a.id IN (SELECT q FROM wcut) OR 'a' || a.id IN (SELECT q FROM gcut) AS truncated
+    FROM lib_academic a LEFT JOIN university u ON u.id = a.university_ids[1] LEFT JOIN discipline d ON d.id = a.discipline_ids[1]""",
+       **walked("SELECT 'a' || id AS q, 'academic:' || id AS nid FROM lib_academic"))
 def _(v):
     return apps.profile_payload(hydrated(v).rows)
 
