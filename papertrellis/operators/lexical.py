@@ -529,8 +529,39 @@ def retrieve(
     return top_seeds(scored.unionByName(extra).unionByName(everything), queries)
 
 
-# Query vectors held by each task in one pass of the dense channel.
-DENSE_PASS = 4_096
+# Rows of a block of query vectors and of document vectors, and columns of the grid that blocks of many queries are dealt to.
+QUERY_BLOCK, VECTOR_BLOCK, GRID_COLUMNS = 512, 4_096, 256
+
+_BLOCK = "ids array<string>, dim int, matrix binary"
+
+
+def _unit(vectors: list) -> np.ndarray:
+    m = np.asarray(vectors, dtype="float64")
+    length = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def _packed(vectors: DataFrame, name: str, rows: int) -> DataFrame:
+    """Vectors of unit length in blocks of at most ``rows``, packed where they lie; vectors of one length to a block."""
+
+    def run(batches):
+        held: dict[int, tuple[list, list]] = {}
+
+        def block(dim: int) -> pd.DataFrame:
+            ids, found = held.pop(dim)
+            return pd.DataFrame({"ids": [ids], "dim": [dim], "matrix": [_unit(found).tobytes()]})
+
+        for batch in batches:
+            for i, v in zip(batch[name], batch["vector"]):
+                ids, found = held.setdefault(len(v), ([], []))
+                ids.append(i)
+                found.append(v)
+                if len(ids) == rows:
+                    yield block(len(v))
+        for dim in list(held):
+            yield block(dim)
+
+    return vectors.select(F.col(name).cast("string").alias(name), "vector").mapInPandas(run, _BLOCK)
 
 
 def dense_channel(
@@ -538,60 +569,43 @@ def dense_channel(
 ) -> DataFrame:
     """Exact cosine of every (query_id, vector) against all (entity_id, vector) rows.
 
-    The query vectors of one pass, a counted and bounded set, are broadcast as a
-    matrix. Batches of documents meet them in blocks of one matrix product each,
-    and a task hands on its best ``seed_limit`` per query at its end. More
-    queries mean more passes, never a wider one.
+    Blocks of query vectors meet blocks of document vectors on a grid, one matrix product each; neither side passes through the driver,
+    and the plan is the same for any number of queries. Few query blocks, by a count of their rows and bytes, are broadcast and document
+    blocks stay where they are; more of them are dealt with the document blocks over the columns of the grid. A task hands on its best
+    ``seed_limit`` of each query at its end. Vectors of unlike length do not meet.
     """
-    n = query_vectors.count()
-    passes = max(1, -(-2 * n // DENSE_PASS)) if n > DENSE_PASS else 1
-    out = None
-    for i in range(passes):
-        part = query_vectors if passes == 1 else query_vectors.where(F.pmod(F.hash("query_id"), F.lit(passes)) == i)
-        rows = part.select("query_id", "vector").collect()
-        if not rows:
-            continue
-        best = doc_vectors.select("entity_id", "vector").mapInPandas(
-            _task_best(doc_vectors.sparkSession, [r[0] for r in rows], [r[1] for r in rows], seed_limit),
-            "query_id string, entity_id string, score double",
-        )
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        out = doc_vectors.sparkSession.sql(
-            "SELECT '' AS query_id, '' AS entity_id, 0D AS score WHERE false"
-        )
+    asked = cut_lineage(_packed(query_vectors, "query_id", QUERY_BLOCK)).select(F.col("ids").alias("q_ids"), "dim", F.col("matrix").alias("q_matrix"))
+    blocks = _packed(doc_vectors, "entity_id", VECTOR_BLOCK)
+    if is_small(asked):
+        pairs = blocks.join(F.broadcast(asked), "dim")
+    else:
+        column = F.pmod(F.xxhash64("ids"), F.lit(GRID_COLUMNS))
+        pairs = blocks.withColumn("column", column).join(
+            asked.withColumn("column", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(GRID_COLUMNS - 1).cast("long")))), ["dim", "column"])
+    best = pairs.select("ids", "dim", "matrix", "q_ids", "q_matrix").mapInPandas(_best_of_task(seed_limit), "query_id string, entity_id string, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= seed_limit).select(
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= seed_limit).select(
         "query_id", "entity_id", F.lit(channel).alias("channel"), "rank", F.col("score").alias("raw_score")
     )
 
 
-def _task_best(spark, ids: list[str], vectors: list[list[float]], k: int, block: int = 256):
-    def unit(m: np.ndarray) -> np.ndarray:
-        length = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-    sent = spark.sparkContext.broadcast(unit(np.asarray(vectors, dtype="float64")))
-
+def _best_of_task(k: int):
     def run(batches):
-        queries = sent.value
-        held = [(np.zeros(0), np.zeros(0, object)) for _ in ids]
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            if batch.empty:
-                continue
-            docs = unit(np.stack(batch["vector"].to_numpy()).astype("float64"))
-            entity = batch["entity_id"].to_numpy()
-            for lo in range(0, len(ids), block):
-                scores = np.round(docs @ queries[lo:lo + block].T, 10)
+            for ids, dim, matrix, q_ids, q_matrix in batch.itertuples(index=False):
+                docs, queries = (np.frombuffer(m).reshape(-1, dim) for m in (matrix, q_matrix))
+                entity = np.asarray(ids, dtype=object)
+                scores = np.round(docs @ queries.T, 10)
                 floor = np.partition(scores, -k, axis=0)[-k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
-                for j, least in enumerate(floor):
+                for j, (query_id, least) in enumerate(zip(q_ids, floor)):
                     some = np.flatnonzero(scores[:, j] >= least)
-                    best, names = held[lo + j]
-                    best, names = np.concatenate([best, scores[some, j]]), np.concatenate([names, entity[some]])
+                    best, names = scores[some, j], entity[some]
+                    if query_id in held:
+                        best, names = np.concatenate([held[query_id][0], best]), np.concatenate([held[query_id][1], names])
                     order = np.lexsort((names.astype(str), -best))[:k]
-                    held[lo + j] = best[order], names[order]
-        for query_id, (best, names) in zip(ids, held):
-            if len(best):
-                yield pd.DataFrame({"query_id": query_id, "entity_id": names, "score": best})
+                    held[query_id] = best[order], names[order]
+        for query_id, (best, names) in held.items():
+            yield pd.DataFrame({"query_id": query_id, "entity_id": names, "score": best})
 
     return run
