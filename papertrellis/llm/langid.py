@@ -1,7 +1,8 @@
 """Language identification by unigrams over a fixed public vocabulary, summed over all segmentations.
 
 A word is scored by the forward algorithm: the probability of all its cuts into vocabulary pieces, where a letter that is no piece
-of its own counts as the one piece "other letter". Training starts from flat probabilities and takes expected piece counts by
+of its own counts as the one piece "other letter". Words of up to WORD characters are summed many at a time; longer ones, of any
+length, one by one with sums that are scaled on the way, so no word is cut. Training starts from flat probabilities and takes expected piece counts by
 forward and backward sums, per language, over all labelled texts; every round is one pass of Spark tasks that each return at most
 one row per piece and language.
 """
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,12 +23,18 @@ from papertrellis.llm.tables import rows, slices
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 START = "▁"
-#: Longest run of letters summed as one word; longer runs are cut there (the sums of the parts multiply).
-WORD = 40
+#: Longest word whose sums fit a double as they are; sums of longer ones are scaled every RESCALE characters.
+WORD, RESCALE = 40, 8
+#: Longest piece of the vocabulary that is taken.
+PIECE = 32
 #: Smallest probability of a piece; forty of them still fit a double.
 FLOOR = 1e-7
 SLICE = 6 << 20
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Edges of a long word that are weighed at a time.
+EDGES = 1 << 18
+_ASCII_LETTERS = re.compile(r"[a-z]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PIECE = regex.compile(r"[\p{L}\p{M}]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,7 +42,7 @@ def pieces_of(path: str = VOCABULARY) -> list[str]:
     """The vocabulary's pieces of letters, lower-cased, with their word mark; the file is read on the driver only."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if p.removeprefix(START).isalpha() and len(p) <= WORD or p == START)
+    return sorted(p for p in found if _PIECE.fullmatch(p.removeprefix(START)) and len(p) <= PIECE or p == START)
 
 
 class Pieces:
@@ -103,7 +111,7 @@ class Pieces:
         return order, length, ends
 
     def forward(self, words: list[str], prob: np.ndarray) -> tuple[np.ndarray, list, list, np.ndarray, np.ndarray]:
-        """Sums over all segmentations: (words, columns of prob), and what expected() needs to go backward."""
+        """Sums over all segmentations of words of up to WORD characters: (words, columns of prob), and what goes backward again."""
         order, length, ends = self.spans(words)
         alpha = [np.ones((len(words), prob.shape[1]))]
         for here in ends:
@@ -116,8 +124,79 @@ class Pieces:
             total[order[length == j]] = alpha[j][length[: len(alpha[j])] == j]
         return total, ends, alpha, order, length
 
+    def edges(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece id) of every piece in one word of any length."""
+        code = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        n = len(code)
+        wide = code.astype(np.uint64)
+        starts, ends, ids = [np.arange(n)], [np.arange(1, n + 1)], [self.single[code]]
+        power = np.ones(1, np.uint64)
+        hashes = wide
+        with np.errstate(over="ignore"):
+            for k in range(2, min(n, self.longest) + 1):
+                power = power * _BASE
+                hashes = hashes[1:] + wide[: n - k + 1] * power
+                found = self.find(self._mix(hashes + np.uint64(k)))
+                hit = np.flatnonzero(found >= 0)
+                starts.append(hit)
+                ends.append(hit + k)
+                ids.append(found[hit])
+        return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
+
+    def swept(self, came: np.ndarray, to: np.ndarray, ids: np.ndarray, prob: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Forward sums of one word at positions 0 to n as (scaled sums, natural logs of their scales)."""
+        order = np.argsort(to, kind="stable")
+        came, ids = came[order], ids[order]
+        first = np.searchsorted(to[order], np.arange(1, n + 2)).tolist()
+        sums, log = np.zeros((n + 1, prob.shape[1])), np.zeros((n + 1, prob.shape[1]))
+        sums[0] = 1
+        for j in range(1, n + 1):
+            here = slice(first[j - 1], first[j])
+            sums[j] = (sums[came[here]] * prob[ids[here]]).sum(0)
+            log[j] = log[j - 1]
+            if j % RESCALE == 0:
+                near = slice(max(0, j + 1 - self.longest), j + 1)  # all that later positions look at has one scale
+                top = sums[near].max(0)
+                sums[near] /= top
+                log[near] += np.log(top)
+        return sums, log
+
+    def log_sums(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """Natural logs of the sums over all segmentations (words, columns of prob), words of any length."""
+        out = np.empty((len(words), prob.shape[1]))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(size <= WORD)
+        if len(short):
+            out[short] = np.log(self.forward([words[i] for i in short], prob)[0])
+        for i in np.flatnonzero(size > WORD):
+            sums, log = self.swept(*self.edges(words[i]), prob, int(size[i]))
+            out[i] = np.log(sums[-1]) + log[-1]
+        return out
+
     def expected(self, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
-        """Expected piece counts (pieces, columns of weight) of words that weigh so much in each language."""
+        """Expected piece counts (pieces, columns of weight) of words of any length that weigh so much in each language."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        short, out = np.flatnonzero(size <= WORD), np.zeros((self.size, weight.shape[1]))
+        if len(short):
+            out += self._expected_short([words[i] for i in short], weight[short], prob)
+        for i in np.flatnonzero(size > WORD):
+            out += self._expected_long(words[i], weight[i], prob)
+        return out
+
+    def _expected_long(self, word: str, weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        n = len(word)
+        start, end, ids = self.edges(word)
+        (before, log_before), (after, log_after) = self.swept(start, end, ids, prob, n), self.swept(n - end, n - start, ids, prob, n)
+        before, after = np.log(before) + log_before, np.log(after) + log_after
+        out = np.zeros((self.size, len(weight)))
+        for lo in range(0, len(ids), EDGES):
+            some = slice(lo, lo + EDGES)
+            share = np.exp(before[start[some]] + np.log(prob[ids[some]]) + after[n - end[some]] - before[-1]) * weight
+            for c in range(len(weight)):
+                out[:, c] += np.bincount(ids[some], share[:, c], self.size)
+        return out
+
+    def _expected_short(self, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
         total, ends, alpha, order, length = self.forward(words, prob)
         share = weight[order] / total[order]
         beta = [np.zeros_like(a) for a in alpha]
@@ -134,10 +213,10 @@ class Pieces:
         return np.stack([np.bincount(ids, many[:, c], self.size) for c in range(many.shape[1])], 1)
 
 
-def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """(row, word number) of every word, the different words with their start mark, and which of them have a letter.
+def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, word number) of every word, and the different words with their start mark.
 
-    Words are runs of letters (with the few numeral signs that Unicode counts among word characters), lower-cased.
+    Words are runs of letters and the combining marks behind them, of any length, lower-cased.
     """
     chunks: dict[str, int] = {}  # between white space; only different ones are searched for letters
     held, of_row = [], []
@@ -148,7 +227,7 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndar
     table: dict[str, int] = {}
     size, number = [], []
     for c in chunks:
-        found = [c] if len(c) < WORD and c.isalpha() else [w[a:a + WORD - 1] for w in _LETTERS.findall(c) for a in range(0, len(w), WORD - 1)]
+        found = [c] if c.isalpha() else (_ASCII_LETTERS if c.isascii() else _LETTERS).findall(c)
         size.append(len(found))
         number += [table.setdefault(w, len(table)) for w in found]
     of_row, size, number = np.array(of_row, np.int64), np.array(size, np.int64), np.array(number, np.int64)
@@ -156,9 +235,7 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndar
     many = size[of_row]
     first = np.cumsum(size) - size
     within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    words = list(table)
-    letters = np.fromiter((w.isalpha() or any(map(str.isalpha, w)) for w in words), bool, len(words))
-    return np.repeat(row, many), number[np.repeat(first[of_row], many) + within], [START + w for w in words], letters
+    return np.repeat(row, many), number[np.repeat(first[of_row], many) + within], [START + w for w in table]
 
 
 def learn(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 1) -> tuple[list[str], list[str], np.ndarray]:
@@ -179,7 +256,7 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 1) -> tup
             names, known, p = sent.value
             finder, sums = Pieces(names), {}
             for batch in slices(batches, limit=SLICE):
-                row, number, words, _ = words_of(batch.column("text"))
+                row, number, words = words_of(batch.column("text"))
                 if not words:
                     continue
                 lang = batch.column("lang").dictionary_encode()
@@ -221,11 +298,11 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) ->
         names, vocabulary, p = sent.value
         finder = Pieces(vocabulary)
         for batch in slices(batches, "__text", limit=SLICE):
-            row, number, words, alpha = words_of(batch.column("__text"))
+            row, number, words = words_of(batch.column("__text"))
             n = batch.num_rows
-            best, score, letters = np.zeros(n, np.int64), np.zeros(n), np.bincount(row[alpha[number]], minlength=n) > 0
+            best, score, letters = np.zeros(n, np.int64), np.zeros(n), np.bincount(row, minlength=n) > 0
             if words and names:
-                log = np.log(finder.forward(words, p)[0])
+                log = finder.log_sums(words, p)
                 sums = np.stack([np.bincount(row, log[number, c], n) for c in range(len(names))], 1)
                 best = sums.argmax(1)
                 score = np.where(letters, 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1), 0.0)

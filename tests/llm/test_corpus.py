@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -191,6 +194,37 @@ def test_forward_sums_all_segmentations():
     assert sum(n * (len(pieces[i - 1]) if i else 1) for i, n in enumerate(e)) == pytest.approx(sum(map(len, words)))
 
 
+def test_long_words_are_summed_whole():
+    pieces = ["▁a", "▁", "a", "b", "ab", "ba", "bab"]
+    found, prob = langid.Pieces(pieces), np.array([[1e-7, 3e-7]] + [[0.01 * i, 1e-4 / i] for i in range(1, 8)])
+    number = {p: i + 1 for i, p in enumerate(pieces)}
+
+    def plain(word, column):
+        """Exact fractions: no scale is needed."""
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            ids = [(k, number.get(word[j - k:j], 0 if k == 1 else None)) for k in range(1, min(j, 3) + 1)]
+            sums.append(sum(sums[j - k] * Fraction(prob[i, column]) for k, i in ids if i is not None))
+        return sums[-1]
+
+    def log(x):
+        return math.log(x.numerator) - math.log(x.denominator)
+
+    words = ["▁" + "abbaxb" * 40, "▁a", "▁" + "z" * 300, "▁" + "ab" * 20, "▁" + "ab" * 19 + "a"]
+    assert found.log_sums(words, prob) == pytest.approx(np.array([[log(plain(w, c)) for c in range(2)] for w in words]), rel=1e-12)
+    # counts by the long form equal those by the short one, and cover every letter once
+    short = ["▁abab", "▁babxab", "▁猫"]
+    for w in short:
+        assert found._expected_long(w, np.array([1.0, 2.0]), prob) == pytest.approx(found._expected_short([w], np.array([[1.0, 2.0]]), prob))
+    e = found.expected(words, np.ones((5, 1)), prob[:, :1])[:, 0]
+    assert sum(n * (len(pieces[i - 1]) if i else 1) for i, n in enumerate(e)) == pytest.approx(sum(map(len, words)))
+
+
+def test_words_keep_marks_and_length():
+    row, number, words = langid.words_of(pa.array(["Ko\u0308ln, x2y " + "q" * 500, None, "12 \u0301 ²", "हिन्दी"]))
+    assert [(r, words[i]) for r, i in zip(row, number)] == [(0, "▁ko\u0308ln"), (0, "▁x"), (0, "▁y"), (0, "▁" + "q" * 500), (3, "▁हिन्दी")]
+
+
 def test_language_id(spark, docs, wide):
     rng = np.random.default_rng(0)
     kinds = {"aa": "ka ta na ma la".split(), "bb": "öst gru blüm schro".split()}
