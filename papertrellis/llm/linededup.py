@@ -26,8 +26,12 @@ LEAST_DOCS = 5
 #: Keys that a shard's filter is laid out for, at half of its slots.
 SHARD_KEYS = 1 << 15
 SLOTS = 4
-#: Filters, and lists of lines to drop, up to so many bytes go to every task; beyond, the exact joins do the work alone.
+#: Filters, and lists of lines to drop, up to so many bytes go to every task. Larger filters meet the references of their shard, one
+#: shard after the other in a task; longer lists are joined.
 SENT_BYTES = 64 << 20
+#: References of one shard that go through one copy of its filter; larger shards are split.
+PART_REFS = 1 << 22
+MOST_SHARDS = 1 << 16
 
 
 def key_of(line: bytes, least: int = LEAST_POINTS) -> bytes | None:
@@ -129,11 +133,15 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @dataclass(frozen=True)
 class LineStore:
-    """refs: (key, id), each pair once. filters: (shard, bits), one row per shard. Both written in the shared folder."""
+    """refs: (key, id), each pair once. filters: (shard, bits), one row per shard. Both written in the shared folder.
+
+    held: keys in the filters. When they outgrow what the shards are laid out for, the filters are built anew from the exact counts.
+    """
 
     refs: DataFrame | None = None
     filters: DataFrame | None = None
     shards: int = 0
+    held: int = 0
     least_docs: int = LEAST_DOCS
     least_points: int = LEAST_POINTS
 
@@ -166,28 +174,32 @@ class LineStore:
     def _filtered(self, keys: DataFrame, add: bool) -> LineStore:
         """The filters with keys that crossed the number put in or taken out, shard by shard."""
         keys = written(keys, "line-keys")
-        shards, old = self.shards, self.filters
+        shards, old, many = self.shards, self.filters, keys.count()
+        held = self.held + many if add else self.held - many
+        if old is not None and held > shards * SHARD_KEYS and shards < MOST_SHARDS:
+            every = self.refs.groupBy("key").count().where(F.col("count") >= self.least_docs).select("key")
+            return replace(self, filters=None, held=0)._filtered(every, True)
         if old is None:
-            shards = 1 << max(0, (int(keys.count() * 1.2) // SHARD_KEYS).bit_length())
+            shards = min(1 << max(0, (int(many * 1.2) // SHARD_KEYS).bit_length()), MOST_SHARDS)
             old = keys.sparkSession.createDataFrame([], "shard int, bits binary")
-        split = keys.withColumn("shard", _shard(F.col("key"), min(shards, 1 << 16)))
+        split = keys.withColumn("shard", _shard(F.col("key"), shards))
 
         def change(before: pd.DataFrame, crossed: pd.DataFrame) -> pd.DataFrame:
-            held = Cuckoo.of(before["bits"].iloc[0]) if len(before) else Cuckoo()
+            one = Cuckoo.of(before["bits"].iloc[0]) if len(before) else Cuckoo()
             rows = _stacked(list(crossed["key"])) if len(crossed) else np.zeros((0, 16), np.uint8)
-            (held.insert if add else held.delete)(rows)
+            (one.insert if add else one.delete)(rows)
             shard = before["shard"].iloc[0] if len(before) else crossed["shard"].iloc[0]
-            return pd.DataFrame({"shard": [shard], "bits": [held.to_bytes()]})
+            return pd.DataFrame({"shard": [shard], "bits": [one.to_bytes()]})
 
         changed = old.groupBy("shard").cogroup(split.groupBy("shard")).applyInPandas(change, "shard int, bits binary")
-        return replace(self, filters=written(changed, "line-filters"), shards=min(shards, 1 << 16))
+        return replace(self, filters=written(changed, "line-filters"), shards=shards, held=held)
 
     def repeated(self) -> DataFrame:
-        """The references whose key may be one to drop: what the filters let through, or all if they are too large to send."""
+        """The references whose key may be one to drop: what the filters let through."""
         if self.filters is None:
             raise ValueError("nothing was inserted yet")
         if self.filters.count() * (SHARD_KEYS * SLOTS + 1) > SENT_BYTES:
-            return self.refs
+            return self._shard_by_shard()
         sent = self.refs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["bits"]) for r in self.filters.collect()})
         shards = self.shards
 
@@ -204,6 +216,35 @@ class LineStore:
 
         return self.refs.mapInArrow(run, self.refs.schema)
 
+    def _shard_by_shard(self) -> DataFrame:
+        """repeated() where no task can hold all filters: each shard's references follow its filter, in parts where there are many."""
+        refs = self.refs.withColumn("shard", _shard(F.col("key"), self.shards))
+        sizes = refs.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / PART_REFS).cast("int").alias("parts"))
+        sizes = written(sizes, "line-shards")
+        kind = self.refs.schema["id"].dataType
+        none = F.lit(None)
+        refs = refs.join(F.broadcast(sizes), "shard").select(  # MOST_SHARDS rows of two numbers at most
+            "shard", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "key", "id", none.cast("binary").alias("bits"))
+        filters = self.filters.join(sizes, "shard").select(
+            "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), none.cast("binary").alias("key"), none.cast(kind).alias("id"), "bits")
+        laid = filters.union(refs).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("bits").isNull())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of, held = None, None
+            for batch in batches:
+                place = batch.column("shard").to_numpy().astype(np.int64) << 32 | batch.column("part").to_numpy()
+                leads = batch.column("bits").is_valid().to_numpy(zero_copy_only=False)
+                cuts = np.unique([0, *np.flatnonzero(leads), *(np.flatnonzero(np.diff(place)) + 1), len(place)]).tolist()
+                for lo, hi in zip(cuts, cuts[1:]):
+                    if leads[lo]:
+                        of, held = place[lo], Cuckoo.of(batch.column("bits")[lo].as_py())
+                        lo += 1
+                    if lo < hi and of == place[lo]:  # a shard without a filter holds no key to drop
+                        some = batch.slice(lo, hi - lo).select(["key", "id"])
+                        yield some.filter(pa.array(held.maybe(_stacked(some.column("key").to_pylist()))))
+
+        return laid.mapInArrow(run, self.refs.schema)
+
     def drops(self) -> DataFrame:
         """(id, keys): the keys of the lines that each document loses. No document is in it with no key."""
         refs = self.repeated()
@@ -218,7 +259,7 @@ class LineStore:
         """
         drops = written(self.drops().select(F.col("id").alias("__id"), F.col("keys").alias("__keys")), "line-drops")
         size = drops.agg(F.coalesce(F.sum(F.size("__keys")), F.lit(0)) * 24 + F.count("*") * 48).first()[0]
-        drops = F.broadcast(drops) if size <= SENT_BYTES else drops.hint("shuffle_hash")
+        drops = F.broadcast(drops) if size <= SENT_BYTES else drops
         columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
         docs = docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(text_col, F.col(text_col).cast("string"))
         schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")

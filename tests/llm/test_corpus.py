@@ -274,11 +274,31 @@ def test_line_dedup(docs, wide, monkeypatch):
     assert cleaned(both, docs) == want
     back = both.delete(two.select("doc_id"))
     assert cleaned(back, one) == plain_lines(pairs(one)) and sorted(back.repeated().collect()) == sorted(linededup.LineStore().insert(one).repeated().collect())
+    through = sorted(store.repeated().collect())
+    assert 0 < len(through) < store.refs.count()
     monkeypatch.setattr(linededup, "SENT_BYTES", -1)
-    assert cleaned(store, docs) == want
+    assert cleaned(store, docs) == want and sorted(store.repeated().collect()) == through
+    monkeypatch.setattr(linededup, "PART_REFS", 3)
     assert cleaned(linededup.LineStore().insert(empty(docs)), docs)[0][2] == 0 and store.cleaned(empty(docs)).count() == 0
 
 
+def test_filters_grow_with_what_is_inserted(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)  # shards are laid out for two keys each
+    line = lambda i: f"line {i} of the repeated ones, long enough to count"
+    texts = [(d, "\n".join([line(i) for i in range(4 if d < 8 else 30)] + [f"own line of document {d}, which nothing else holds"])) for d in range(16)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, two = docs.where("doc_id < 8"), docs.where("doc_id >= 8")
+    small = linededup.LineStore().insert(one)
+    grown = small.insert(two)
+    assert (small.held, grown.held) == (4, 30) and grown.shards > small.shards
+    assert cleaned(grown, docs) == plain_lines(texts)
+    monkeypatch.setattr(linededup, "SENT_BYTES", -1)
+    monkeypatch.setattr(linededup, "PART_REFS", 3)
+    assert cleaned(grown, docs) == plain_lines(texts) and grown.repeated().count() < grown.refs.count()
+    back = grown.delete(two.select("doc_id"))
+    assert back.held == 4 and cleaned(back, one) == plain_lines(texts[:8])
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
