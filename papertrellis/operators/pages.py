@@ -102,8 +102,8 @@ _BLOCK_TAGS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|"
     "html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul"
 )
-# possessive runs: the matcher goes one level deeper per quoted value, never per character
-_ATTRS = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+){0,500}+"
+# possessive throughout: the matcher loops over quoted values and characters, so a tag may have any number of them
+_ATTRS = r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+"
 _ORCID = r"(?i)(0000-\d{4}-\d{4}-\d{3}[\dX])"
 _HEADINGS = ("h2", "h3", "h4")
 

@@ -37,6 +37,12 @@ def test_hostile_markup_ends_nothing(spark, body):
     assert pages.position_by_class(df).count() == 0
 
 
+def test_tags_of_any_length_are_cut_whole(spark):
+    many = " ".join(f"a{i}='x>y'" for i in range(20_000))
+    df = page(spark, f"<p>before <b {many}>bold</b> after</p>")
+    assert [r["text"] for r in pages.page_blocks(df).collect()] == ["before bold after"]
+
+
 def test_tags_with_quoted_signs_are_cut_whole(spark):
     df = page(spark, """<p title="a > b" data-x='">'>kept</p>""")
     assert [r["text"] for r in pages.page_blocks(df).collect()] == ["kept"]
