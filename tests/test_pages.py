@@ -48,6 +48,11 @@ def test_tags_with_quoted_signs_are_cut_whole(spark):
     assert [r["text"] for r in pages.page_blocks(df).collect()] == ["kept"]
 
 
+def test_references_without_their_semicolon_stay(spark):
+    df = page(spark, "<h1>a&amp;b and&amp</h1>", "<p>&amp;lt; &#233;&#xe9; &copy &nosuch; &ampx; x&copy;</p>")
+    assert by_page(pages.page_blocks(df), "text") == {0: "a&b and&amp", 1: "&lt; éé &copy &nosuch; &ampx; x©"}
+
+
 def test_position_counts_strings_and_falls_back_to_the_directory(spark):
     far = "<h1>Ann</h1>" + "<p>x <b>y</b> z</p>" * 10 + "<p>Professor of Trees</p>"
     farther = "<h1>Ann</h1>" + "<p>x <b>y</b> z</p>" * 11 + "<p>Professor of Trees</p>"
