@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from papertrellis.checks import pages as page_checks
+from papertrellis.checks.views import Views
 from papertrellis.functions import markup
 from papertrellis.operators import clean, lexical, pages
 from papertrellis.sources import tables
@@ -97,3 +99,13 @@ def test_a_term_of_every_document_still_matches(spark):
     docs = spark.range(400).select(F.concat(F.lit("d"), "id").alias("entity_id"), F.lit("publication").alias("kind"), F.lit("tree " * 3).alias("text"))
     q = lexical.plan_queries(spark.createDataFrame([("q", "tree")], "query_id string, text string"))
     assert lexical.bm25(q, lexical.index_documents(docs)).where("score > 0").count() == 400
+
+
+def test_pages_made_from_a_small_table_are_dealt_out(spark, tmp_path):
+    many = spark.range(9000).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size").coalesce(1)
+    many.write.parquet(f"{tmp_path}/part.parquet")
+    v = Views(spark, str(tmp_path))
+    rows = v("profile_page")
+    assert rows.rdd.getNumPartitions() == 3 and rows.select("page_id").distinct().count() == 9000
+    each = page_checks.blocks_by_page(v).rdd.mapPartitions(lambda part: [{r["page_id"] for r in part}]).collect()
+    assert len(each) == 3 and sum(map(len, each)) == 9000
