@@ -259,3 +259,14 @@ def test_dense_channel_is_exact(spark):
     for i in range(4):
         got = [r["entity_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == f"q{i}"]
         assert got == [f"d{j:03d}" for j in np.argsort(-sim[i])[:7]]
+
+
+def test_pairs_of_a_search_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    docs = spark.range(300).select(F.concat(F.lit("d"), "id").alias("entity_id"), F.lit("publication").alias("kind"), F.lit("tree leaf").alias("text"))
+    q = lexical.plan_queries(spark.createDataFrame([("a", "tree"), ("b", "leaf tree")], "query_id string, text string"))
+    index = lexical.index_documents(docs)
+    whole = {tuple(r) for r in lexical.bm25(q, index).collect()}
+    monkeypatch.setattr(lexical, "PAIRS", 100)
+    dealt = lexical.bm25(q, index)
+    assert dealt.rdd.getNumPartitions() == 9  # 300 documents, three asked terms
+    assert {tuple(r) for r in dealt.collect()} == whole and len(whole) == 600
