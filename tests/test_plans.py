@@ -53,3 +53,16 @@ def test_directory_lists_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan_text(out) and "Cartesian" not in plan_text(out)
     nobody = {**tables, "field": tables["field"].where("id = 'f2'")}
     assert apps.researcher_results(asked.where("query_id = 'a'"), people, nobody).count() == 25
+
+
+def test_profile_heads_need_no_walk(spark, monkeypatch):
+    from papertrellis.checks import QUERIES
+    from papertrellis.operators import graph
+
+    def walked(*_a, **_k):
+        raise AssertionError("walked")
+
+    monkeypatch.setattr(graph, "neighbourhood", walked)
+    rows = QUERIES["academic_profile"](spark, "/root/testdata/sf0.001")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert rows.where("name is null or institution is null").count() == 0
