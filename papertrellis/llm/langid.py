@@ -30,6 +30,8 @@ PIECE = 32
 #: Smallest probability of a piece; forty of them still fit a double.
 FLOOR = 1e-7
 SLICE = 6 << 20
+#: Words whose sums are held at a time; what a worker holds doesn't grow with the different words of a slice.
+WORDS = 1 << 14
 #: Edges of a long word that are weighed at a time.
 EDGES = 1 << 18
 _ASCII_LETTERS = re.compile(r"[a-z]+")
@@ -161,13 +163,19 @@ class Pieces:
                 log[near] += np.log(top)
         return sums, log
 
+    @staticmethod
+    def _short(size: np.ndarray) -> list[np.ndarray]:
+        """The words of up to WORD characters, WORDS at a time, those of like length together."""
+        order = np.argsort(size, kind="stable")
+        order = order[: np.searchsorted(size[order], WORD, side="right")]
+        return [order[k:k + WORDS] for k in range(0, len(order), WORDS)]
+
     def log_sums(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """Natural logs of the sums over all segmentations (words, columns of prob), words of any length."""
         out = np.empty((len(words), prob.shape[1]))
         size = np.fromiter(map(len, words), np.int64, len(words))
-        short = np.flatnonzero(size <= WORD)
-        if len(short):
-            out[short] = np.log(self.forward([words[i] for i in short], prob)[0])
+        for some in self._short(size):
+            out[some] = np.log(self.forward([words[i] for i in some], prob)[0])
         for i in np.flatnonzero(size > WORD):
             sums, log = self.swept(*self.edges(words[i]), prob, int(size[i]))
             out[i] = np.log(sums[-1]) + log[-1]
@@ -176,9 +184,9 @@ class Pieces:
     def expected(self, words: list[str], weight: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected piece counts (pieces, columns of weight) of words of any length that weigh so much in each language."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        short, out = np.flatnonzero(size <= WORD), np.zeros((self.size, weight.shape[1]))
-        if len(short):
-            out += self._expected_short([words[i] for i in short], weight[short], prob)
+        out = np.zeros((self.size, weight.shape[1]))
+        for some in self._short(size):
+            out += self._expected_short([words[i] for i in some], weight[some], prob)
         for i in np.flatnonzero(size > WORD):
             out += self._expected_long(words[i], weight[i], prob)
         return out
