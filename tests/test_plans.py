@@ -66,3 +66,16 @@ def test_profile_heads_need_no_walk(spark, monkeypatch):
     rows = QUERIES["academic_profile"](spark, "/root/testdata/sf0.001")
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
     assert rows.where("name is null or institution is null").count() == 0
+
+
+def test_holders_of_fields_are_paired_last(spark):
+    from papertrellis.operators import apps
+
+    people = spark.createDataFrame([("1", ["a", "b", "a"]), ("2", ["b", "a"]), ("3", ["c"]), ("4", None), ("5", ["c", "b"])], "id string, field_ids array<string>")
+    matched = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "b"), ("s", "z")], "query_id string, field_id string")
+    held = apps._holders(matched, people)
+    want = [("q", "1"), ("q", "2"), ("q", "5"), ("r", "1"), ("r", "2"), ("r", "5")]
+    assert sorted((r["query_id"], r["id"]) for r in held.collect()) == want
+    assert "HashAggregate(keys=[query_id" not in held._jdf.queryExecution().executedPlan().toString()  # pairs don't move to be told apart
+    twice = people.unionByName(spark.createDataFrame([("1", ["b"])], people.schema))
+    assert sorted((r["query_id"], r["id"]) for r in apps._holders(matched, twice).collect()) == want
