@@ -149,3 +149,21 @@ def test_stored_lists_give_the_same_neighbourhood(spark, tmp_path):
         graph.neighbourhood(seeds, {}, graph.Budget(max_neighbors=21), store)
     plan = store.load(seeds.limit(1), graph.Budget())._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and plan.count("Scan parquet") == 1
+
+
+def test_queries_are_walked_by_batches(spark):
+    """Each query's own walk, with its proofs, though tasks are handed many queries at a time and not one call for each."""
+    many = 700
+    s = spark.createDataFrame([(f"q{i}", f"a:{i}", 1.0, 1, [f"s{i}"] if i % 2 else []) for i in range(many)] + [(None, "a:x", 1.0, 1, [])],
+                              "query_id string, entity_id string, rrf_score double, fused_rank int, evidence_ids array<string>")
+    n = spark.createDataFrame([(f"q{i}", f"p:{j}") for i in range(many) for j in range(i % 3)], "query_id string, node_id string")
+    e = spark.createDataFrame([(f"q{i}", f"AUTHORED:a:{i}:p:{j}", f"a:{i}", f"p:{j}", "AUTHORED", None, [f"e{j}", None] if j else None)
+                               for i in range(many) for j in range(2) for _ in range(2)],
+                              "query_id string, edge_id string, source_id string, target_id string, relation string, confidence double, evidence_ids array<string>")
+    out = graph.expand(s, n, e)
+    got = {(r["query_id"], r["target_id"]): (r["relevance"], r["evidence_ids"]) for r in out.where("kind = 'path'").collect()}
+    want = {(f"q{i}", f"a:{i}"): (1.0, [f"s{i}"] if i % 2 else []) for i in range(many)} | {(None, "a:x"): (1.0, [])}
+    want |= {(f"q{i}", f"p:{j}"): (0.8, ([f"s{i}"] if i % 2 else []) + (["e1", None] if j else [])) for i in range(many) for j in range(i % 3)}
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
