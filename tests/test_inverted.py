@@ -114,3 +114,19 @@ def test_dense_ids_of_spread_and_equal_keys(spark):
     same = dense_ids(spark.range(300).select(F.lit("x").alias("k")), ["k"], "id", rows=60)
     assert sorted(r["id"] for r in same.collect()) == list(range(300))
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_made_and_scored_where_their_cell_is(spark, store, corpus, tmp_path):
+    """Texts, not postings, move while a store is written, and no scored pair moves by document."""
+    q = lexical.plan_queries(spark.createDataFrame([("q", "a b")], "query_id string, text string"))
+    weights = F.broadcast(store.weights(q))
+    cells = spark.createDataFrame([("q", 0)], "query_id string, cell long")
+    plan = store._scored(cells, weights, store.table("blocks"), 1.2, 0.75)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cell" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "at#" in x.split("hashpartitioning(")[1].split(")")[0]]
+    stored = inverted.write_store(corpus, str(tmp_path / "s"), buckets=4)
+    want = {(r["term"], r["kind"], r["entity_id"], r["tf"], r["doc_len"]) for r in lexical.postings(lexical.index_documents(corpus)).collect()}
+    rows = stored.table("blocks").select("term", "kind", "max_tf", "min_len", "n", F.size("postings").alias("many"),
+                                         ((F.col("cell") * inverted.CELL)).alias("base"), F.inline("postings"))
+    rows = stored.named(rows.withColumn("doc", F.col("base") + F.col("at"))).collect()
+    assert {(r["term"], r["kind"], r["entity_id"], r["tf"], r["doc_len"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["n"] == r["many"] and r["tf"] <= r["max_tf"] and r["doc_len"] >= r["min_len"] for r in rows)
