@@ -130,3 +130,20 @@ def test_blocks_are_made_and_scored_where_their_cell_is(spark, store, corpus, tm
     rows = stored.named(rows.withColumn("doc", F.col("base") + F.col("at"))).collect()
     assert {(r["term"], r["kind"], r["entity_id"], r["tf"], r["doc_len"]) for r in rows} == want and len(rows) == len(want)
     assert all(r["n"] == r["many"] and r["tf"] <= r["max_tf"] and r["doc_len"] >= r["min_len"] for r in rows)
+
+
+def test_a_text_is_folded_once_for_all_needles(spark, corpus):
+    """Needles of a text meet it as one list; its folding and tokens are worked out before they do, and signs are sought among signs."""
+    texts = ["x1tree9 (§ 1) Tree", "tree,", "Éa b", "", None]
+    docs = corpus.limit(0).unionByName(spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "entity_id string, text string").withColumn(
+        "kind", F.lit("publication")), allowMissingColumns=True)
+    q = lexical.plan_queries(spark.createDataFrame([("tree", "tree"), ("ree", "REE"), ("par", "("), ("sec", "§ "), ("com", ","), ("e", "e,")], "query_id string, text string"))
+    short = lexical.short_needles(q)
+    every = short.select("query_id").crossJoin(docs.select("entity_id"))
+    found = lexical.holding(every, short, docs, unscored=True)
+    assert sorted(map(tuple, found.collect())) == [("com", "d1"), ("e", "d1"), ("par", "d0"), ("ree", "d0"), ("ree", "d1"), ("sec", "d0")]
+    joined = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x or "Filter" in x]
+    assert not any("regexp_extract_all" in x or "lower(" in x for x in joined)
+    signs = lexical.sign_candidates(short, docs)
+    assert sorted(map(tuple, signs.collect())) == [("com", "d1"), ("par", "d0"), ("sec", "d0")]
+    assert "regexp_replace" in signs._jdf.queryExecution().executedPlan().toString()
