@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tokenizers import Tokenizer
@@ -45,6 +46,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+BLANK = chr(_ALPHABET[32])
 
 
 class Encoder:
@@ -98,7 +100,9 @@ class Encoder:
         apart = set(whole)
         parts = [[] if i in apart else [c] if c[1:].isalpha() and c[0] == " " else self._PARTS.findall(c) for i, c in enumerate(chunks)]
         tokenize = self.tokenizer.model.tokenize
-        of = {p: [t.id for t in tokenize(p.encode().decode("latin-1").translate(_ALPHABET))] for p in dict.fromkeys(x for found in parts for x in found)}
+        # of the bytes 32 to 126 the alphabet changes the blank alone
+        of = {p: [t.id for t in tokenize(p.replace(" ", BLANK) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_ALPHABET))]
+              for p in dict.fromkeys(itertools.chain.from_iterable(parts))}
         ids = [of[found[0]] if len(found) == 1 else [i for x in found for i in of[x]] for found in parts]
         for i, x in zip(whole, self._whole([chunks[i] for i in whole])):
             ids[i] = x
@@ -112,35 +116,49 @@ class Encoder:
         self.first[n:n + len(ids)], self.size[n:n + len(ids)] = self.held + np.cumsum(size) - size, size
         self.held, self.known = self.held + total, n + len(ids)
 
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the texts' chunks, one text behind the other, and where each text begins, with the end); new chunks get the next numbers.
+
+        Arrow tells different chunks apart first, so each is looked up once for all its occurrences in these texts.
+        """
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin, chunks = lists.offsets.to_numpy().astype(np.int64), lists.values
+        inner = np.ones(len(chunks), bool)
+        inner[begin[:-1]] = False
+        coded = chunks.filter(pa.array(inner)).dictionary_encode()
+        known = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+        at = np.empty(len(chunks), np.int64)
+        at[inner] = number[coded.indices.to_numpy()]
+        at[begin[:-1]] = [self.number[" " + x] for x in chunks.take(pa.array(begin[:-1])).to_pylist()]
+        return at, begin
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id; a null text has none."""
         if not self.plain:
             return [np.array(x, np.uint32) for x in self._whole([t or "" for t in texts])]
         if len(self.number) > REMEMBER or self.held + self.chars > REMEMBER_SIZE:
             self._forget()
-        places = []
-        for text in texts:
-            if not text or self._ODD.search(text):
-                places.append(None)
-                continue
-            parts = text.split(" ")
-            parts[0] = " " + parts[0]
-            places.append(np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts)))
+        apart = [not text or self._ODD.search(text) is not None for text in texts]
+        plain = [text for text, whole in zip(texts, apart) if not whole]
+        at, begin = self._numbers(plain)
         if len(self.number) > self.known:
             new = list(itertools.islice(reversed(self.number), len(self.number) - self.known))[::-1]
             self.chars += sum(map(len, new))
             self._learn([k[1:] if k[:1] == " " else " " + k for k in new])
-        for at in places:
-            if at is not None:
-                self.met[at] += 1
+        for a, b in itertools.pairwise(begin.tolist()):
+            self.met[at[a:b]] += 1
+        size, first = self.size[at], self.first[at]
+        end = np.cumsum(size)
+        every = self.ids[np.arange(int(size.sum())) + np.repeat(first - end + size, size)]
+        ends = np.concatenate([[0], end])[begin].tolist()
+        found = (every[a:b] for a, b in itertools.pairwise(ends))
         out = []
-        for text, at in zip(texts, places):
-            if at is None:
+        for text, whole in zip(texts, apart):
+            if whole:
                 out.append(np.array(self._whole([text])[0] if text else [], np.uint32))
-                continue
-            size, first = self.size[at], self.first[at]
-            end = np.cumsum(size)
-            out.append(self.ids[np.arange(end[-1]) + np.repeat(first - end + size, size)])
+            else:
+                out.append(next(found))
         return out
 
 
