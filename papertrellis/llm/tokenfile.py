@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import itertools
 import json
+import operator
 import re
 import struct
 import zlib
@@ -46,7 +47,14 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _VISIBLE} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
-BLANK = chr(_ALPHABET[32])
+_CODES = np.array([_ALPHABET[b] for b in range(256)], "<u4")
+#: A byte that no UTF-8 has, and its letter; it stands behind each part that goes to the model, if no merge of the vocabulary has it.
+FENCE = chr(_ALPHABET[255])
+#: Parts that go to the model in one call.
+TOGETHER = 16
+#: Ids that are gathered, or coded, at a time: arrays that stay in a core's cache, and memory that need not be mapped anew.
+AT_ONCE = 1 << 17
+_TOKEN_ID = operator.attrgetter("id")
 
 
 class Encoder:
@@ -59,12 +67,15 @@ class Encoder:
     """
 
     _PARTS = regex.compile(PATTERN)
-    _ODD = re.compile(r"\s (?:\s|\Z)")
+    _APART = re.compile("[\u0500-\U0010ffff]|<\\|")
+    _ODD = re.compile(r" (?<=\s )(?:\s|\Z)")
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         kind = json.loads(self.tokenizer.to_str())
-        self.plain = kind["pre_tokenizer"] == BYTE_LEVEL and not kind["normalizer"] and kind["model"]["type"] == "BPE" and all(t["special"] and "<|" in t["content"] for t in kind["added_tokens"])
+        self.fence = self.tokenizer.token_to_id(FENCE)
+        fenced = self.fence is not None and not any(FENCE in half for merge in kind["model"].get("merges", []) for half in merge)
+        self.plain = fenced and kind["pre_tokenizer"] == BYTE_LEVEL and not kind["normalizer"] and kind["model"]["type"] == "BPE" and all(t["special"] and "<|" in t["content"] for t in kind["added_tokens"])
         # a key is a chunk without its leading space; the first chunk of a text, which has none, is marked by one
         self.number: dict[str, int] = defaultdict(itertools.count().__next__)
         self.known = self.chars = 0
@@ -94,27 +105,42 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _tokenized(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(how many ids each part has, all their ids one behind the other) by the library's model."""
+        data = "".join([p + "\udcff" for p in parts]).encode("utf-8", "surrogateescape")
+        spelt = _CODES[np.frombuffer(data, np.uint8)]
+        ends = np.flatnonzero(spelt == ord(FENCE)) + 1
+        text, cuts = spelt.tobytes().decode("utf-32-le"), [0, *ends[TOGETHER - 1:-1:TOGETHER].tolist(), *ends[-1:].tolist()]
+        tokens = map(self.tokenizer.model.tokenize, [text[a:b] for a, b in itertools.pairwise(cuts)])
+        ids = np.fromiter(map(_TOKEN_ID, itertools.chain.from_iterable(tokens)), np.uint32)
+        fence = np.flatnonzero(ids == self.fence)
+        return np.diff(fence, prepend=-1) - 1, ids[ids != self.fence]
+
     def _learn(self, chunks: list[str]) -> None:
         """Store the ids of chunks, in the order of their numbers."""
-        whole = [i for i, c in enumerate(chunks) if not (c.isascii() or max(c) < "\u0500") or "<|" in c]
-        apart = set(whole)
-        parts = [[] if i in apart else [c] if c[1:].isalpha() and c[0] == " " else self._PARTS.findall(c) for i, c in enumerate(chunks)]
-        tokenize = self.tokenizer.model.tokenize
-        # of the bytes 32 to 126 the alphabet changes the blank alone
-        of = {p: [t.id for t in tokenize(p.replace(" ", BLANK) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_ALPHABET))]
-              for p in dict.fromkeys(itertools.chain.from_iterable(parts))}
-        ids = [of[found[0]] if len(found) == 1 else [i for x in found for i in of[x]] for found in parts]
-        for i, x in zip(whole, self._whole([chunks[i] for i in whole])):
-            ids[i] = x
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        whole = [i for i, c in enumerate(chunks) if self._APART.search(c)] if self._APART.search("".join(chunks)) else []
+        near = chunks if not whole else [c for c, apart in zip(chunks, np.isin(np.arange(len(chunks)), whole).tolist()) if not apart]
+        found = [(c,) if c[1:].isalpha() and c[0] == " " else self._PARTS.findall(c) for c in near]
+        # each different part goes to the model once, and its ids are dealt out to the chunks by their places
+        order: dict[str, int] = defaultdict(itertools.count().__next__)
+        part = np.fromiter(map(order.__getitem__, itertools.chain.from_iterable(found)), np.int64)
+        many, of = self._tokenized(list(order))
+        own, parts = many[part], np.fromiter(map(len, found), np.int64, len(found))
+        ids = of[np.arange(int(own.sum())) + np.repeat((np.cumsum(many) - many)[part] - np.cumsum(own) + own, own)]
+        size = np.diff(np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(parts)])])
+        if whole:
+            lists = iter(np.split(ids, np.cumsum(size)[:-1]) if len(size) else [])
+            far = dict(zip(whole, self._whole([chunks[i] for i in whole])))
+            every = [np.array(far[i], np.uint32) if i in far else next(lists) for i in range(len(chunks))]
+            size, ids = np.fromiter(map(len, every), np.int64, len(every)), np.concatenate(every)
         n, total = self.known, int(size.sum())
         while self.held + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(ids) > len(self.size):
+        while n + len(size) > len(self.size):
             self.first, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.met))
-        self.ids[self.held:self.held + total] = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, total)
-        self.first[n:n + len(ids)], self.size[n:n + len(ids)] = self.held + np.cumsum(size) - size, size
-        self.held, self.known = self.held + total, n + len(ids)
+        self.ids[self.held:self.held + total] = ids
+        self.first[n:n + len(size)], self.size[n:n + len(size)] = self.held + np.cumsum(size) - size, size
+        self.held, self.known = self.held + total, n + len(size)
 
     def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the texts' chunks, one text behind the other, and where each text begins, with the end); new chunks get the next numbers.
@@ -133,6 +159,15 @@ class Encoder:
         at[begin[:-1]] = [self.number[" " + x] for x in chunks.take(pa.array(begin[:-1])).to_pylist()]
         return at, begin
 
+    def _gathered(self, at: np.ndarray, begin: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of each text from the numbers of its chunks."""
+        for lo, hi in itertools.pairwise([*np.unique(begin // (AT_ONCE // 2), return_index=True)[1].tolist(), len(begin) - 1]):
+            own = at[begin[lo]:begin[hi]]
+            size = self.size[own]
+            end = np.concatenate([[0], np.cumsum(size)])
+            every = self.ids[np.arange(end[-1]) + np.repeat(self.first[own] - end[:-1], size)]
+            yield from (every[a:b] for a, b in itertools.pairwise(end[begin[lo:hi + 1] - begin[lo]].tolist()))
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without an end id; a null text has none."""
         if not self.plain:
@@ -148,11 +183,7 @@ class Encoder:
             self._learn([k[1:] if k[:1] == " " else " " + k for k in new])
         for a, b in itertools.pairwise(begin.tolist()):
             self.met[at[a:b]] += 1
-        size, first = self.size[at], self.first[at]
-        end = np.cumsum(size)
-        every = self.ids[np.arange(int(size.sum())) + np.repeat(first - end + size, size)]
-        ends = np.concatenate([[0], end])[begin].tolist()
-        found = (every[a:b] for a, b in itertools.pairwise(ends))
+        found = self._gathered(at, begin)
         out = []
         for text, whole in zip(texts, apart):
             if whole:
@@ -341,7 +372,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = sent.value
         codes = canonical(size)[0]
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", AT_ONCE * np.dtype(kind).itemsize):
             ids = [np.frombuffer(x, kind) for x in batch.column("ids").to_pylist()]
             bits = [m.tobytes() + d.tobytes() for m, d in pack(ids, codes, size)]
             part = [0 if i is None else int(np.searchsorted(bounds, float(i))) for i in batch.column("id").to_pylist()]
