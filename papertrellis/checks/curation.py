@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from papertrellis.checks.registry import check, joined
 from papertrellis.checks.views import Views
 from papertrellis.functions.ids import uuid_v5
-from papertrellis.functions.relations import dense_ids
+from papertrellis.functions.relations import attach_row, dense_ids
 from papertrellis.operators import clean, normalise, quality, resolve, scope
 from papertrellis.schemas import READABLE, project_table
 from papertrellis.session import cut_lineage, new_folder
@@ -19,17 +19,31 @@ from papertrellis.sources import sinks, tables
 
 def works(v: Views) -> DataFrame:
     """The flat work views nested as landed works."""
-    inst = v("work_institution").groupBy("work_seq", "a_pos").agg(
-        F.array_sort(F.collect_list(F.struct("i_pos", F.struct(
-            F.col("uni_id").alias("id"), F.col("uni_name").alias("display_name"), "country_code",
-            F.lit(None).cast("string").alias("ror"), F.lit("education").alias("type")).alias("i")))).alias("_i"))
-    authors = v("work_author").join(inst, ["work_seq", "a_pos"], "left").groupBy("work_seq").agg(
-        F.array_sort(F.collect_list(F.struct("a_pos", F.struct(
-            F.struct(F.col("author_name").alias("display_name"), "orcid").alias("author"),
-            F.transform("_i", lambda s: s["i"]).alias("institutions")).alias("a")))).alias("_a"))
     none = F.lit(None).cast("string")
+    nations = v("nation").groupBy("n_nationkey").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    nations = nations.where("n_nationkey is not null").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("long"), "names"))).alias("_nations"))
+
+    def institutions(work, uni):
+        return F.transform(F.coalesce(F.try_element_at("_nations", uni), F.array().cast("array<string>")), lambda name: F.struct(
+            F.concat(F.lit("https://openalex.org/I"), uni).alias("id"), name.alias("display_name"),
+            F.concat(F.lit("C"), work % 3).alias("country_code"), none.alias("ror"), F.lit("education").alias("type")))
+
+    def authorship(line):
+        work, part = F.col("work_seq"), line["l_partkey"]
+        number = (part * 50 + work % 50).cast("string")
+        both = F.concat(institutions(work, line["l_suppkey"] % 25), institutions(work, F.when(line["l_linenumber"] % 2 == 0, part % 25)))
+        return F.struct(
+            F.struct(F.when(part % 19 != 0, F.concat(F.lit("Author "), number)).alias("display_name"),
+                     F.when(part % 5 == 0, F.concat(F.lit("https://orcid.org/"), number)).alias("orcid")).alias("author"),
+            F.when(F.size(both) > 0, both).alias("institutions"))
+
+    # as the views work_author and work_institution have them; only the numbers of the line items move, once
+    lines = v("lineitem").where("l_orderkey is not null").groupBy(F.col("l_orderkey").alias("work_seq")).agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))).alias("_lines"))
+    topics = v("work_topic").join(lines, "work_seq", "left")
     one = lambda c: F.struct(F.col(c).alias("display_name"))
-    return v("work_topic").join(authors, "work_seq", "left").select(
+    return attach_row(topics, nations).select(
         "work_seq", F.col("work_id").alias("id"), F.concat(F.lit("Work "), F.col("work_seq")).alias("title"),
         "publication_date", "cited_by_count",
         F.array(F.concat(F.lit("https://openalex.org/W"), F.col("work_seq") + 1), F.col("work_id")).alias("referenced_works"),
@@ -42,7 +56,7 @@ def works(v: Views) -> DataFrame:
         F.struct(one("domain").alias("domain"), one("discipline").alias("field"), one("subfield").alias("subfield")).alias(
             "primary_topic"),
         F.array(one("status"), one("raw_type"), F.struct(F.lit("").alias("display_name"))).alias("keywords"),
-        F.transform("_a", lambda s: s["a"]).alias("authorships"))
+        F.transform("_lines", authorship).alias("authorships"))
 
 
 @check("dedupe_works", """
@@ -132,7 +146,7 @@ def _(v):
            coalesce(unis.universities, '') AS universities
     FROM aca_ids a JOIN per ON per.akey = a.akey LEFT JOIN unis ON unis.akey = a.akey""", **DIMS)
 def _(v):
-    return normalise.academics_dim(cut_lineage(works(v))).select(
+    return normalise.academics_dim(works(v)).select(
         "id", F.coalesce("name", F.lit("~")).alias("name"), "orcid_url", joined("research_paper_ids").alias("papers"),
         joined("discipline_ids").alias("disciplines"), joined("field_ids").alias("fields"),
         joined("university_ids").alias("universities"))
@@ -156,7 +170,7 @@ def _(v):
     JOIN dom_ids d ON d.domain IS NOT DISTINCT FROM t.domain LEFT JOIN aca ON aca.work_seq = t.work_seq
     LEFT JOIN uni ON uni.work_seq = t.work_seq""", **DIMS)
 def _(v):
-    return normalise.papers_fact(cut_lineage(works(v))).select(
+    return normalise.papers_fact(works(v)).select(
         "id", "openalex_id", "page_numbers", "doi", "is_open_access", joined("keywords").alias("keywords"), "journal_id",
         joined("faculty_ids").alias("faculties"), joined("academic_ids").alias("academics"),
         joined("university_ids").alias("universities"), joined("outgoing_citations").alias("outgoing"))
@@ -721,7 +735,7 @@ def _(v):
     LEFT JOIN work_author a ON a.work_seq = t.work_seq GROUP BY ALL""")
 def _(v):
     path = scratch(v, "works")
-    sinks.write_json(works(v), path)
+    sinks.write_json(works(v), path, "gzip")
     return tables.works_table(v.spark, path).select(
         "work_seq", "id", F.col("primary_topic.subfield.display_name").alias("subfield"),
         F.coalesce(F.size("authorships"), F.lit(0)).cast("long").alias("n_authors"))

@@ -9,8 +9,9 @@ from papertrellis.operators.priors import provenance_report
 SCORE_COLUMNS = ("research_paper_id", "paper_authority_score", "citation_influence_score", "author_authority_score")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_json(df: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines; ``compression`` is a codec such as gzip, which readers tell by the files' names."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path, compression=compression)
 
 
 def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] = SCORE_COLUMNS) -> None:
