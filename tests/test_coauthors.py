@@ -29,7 +29,11 @@ def test_links_move_once_to_their_paper(spark):
         stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
-    before = moved()
-    assert graph.coauthors(links).count() == 20_000
+    before, threshold = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        assert graph.coauthors(links).count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     time.sleep(1)
     assert moved() - before < 3 * 20_000  # the links, and the counts of 10,000 pairs
